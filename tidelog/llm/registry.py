@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tidelog.llm import chat_format, exact_dedup, sharding
+from tidelog.llm import byte_bpe, chat_format, exact_dedup, language_id, packing, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op5_sharding": sharding.op5_sharding,
+        "op6_packing": packing.op6_packing,
         "op7_chat_format": chat_format.op7_chat_format,
+        "op8_toxicity": toxicity.op8_toxicity,
     }
 
 
