@@ -73,25 +73,23 @@ def filter_bits(n_words: int) -> int:
     return bits
 
 
+def probe(rows: DataFrame, small: DataFrame, word: Column, bits: int, hit: str) -> DataFrame:
+    """``rows`` plus the boolean ``hit``: whether the filter ``small`` may hold ``word``."""
+    slot, slot_word, slot_bits = fresh([*rows.columns, hit], "slot", "slot_word", "slot_bits")
+    placed = rows.withColumn(slot, _slot(word, bits)).withColumn(slot_word, F.shiftrightunsigned(slot, 6))
+    joined = placed.join(F.broadcast(small.withColumnsRenamed({"slot_word": slot_word, "slot_bits": slot_bits})), slot_word, "left")
+    found = F.col(slot_bits).bitwiseAND(_bit(F.col(slot))) != 0
+    return joined.withColumn(hit, F.coalesce(found, F.lit(False))).drop(slot, slot_word, slot_bits)
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All rows and columns of ``docs`` plus keep_id, group_size, kept and text_sha256."""
     docs = docs.select(*[c for c in docs.columns if c not in ADDED])
-    norm, slot, hit, size, word, bits_col = fresh(docs.columns, "norm", "slot", "slot_bits_hit", "n_points", "slot_word", "slot_bits")
+    norm, key, hit = fresh([*docs.columns, *ADDED], "norm", "key", "hit")
     words = cut(colliding_words(docs, normalised(F.col(text))))
     bits = filter_bits(words.count())
-    small = repeat_filter(words, bits).withColumnsRenamed({"slot_word": word, "slot_bits": bits_col})
-
-    key = F.shiftrightunsigned(F.xxhash64(F.col(norm)), 6)
-    rows = (
-        docs.withColumn(norm, normalised(F.col(text)))
-        .withColumn(slot, _slot(key, bits))
-        .withColumn("text_sha256", F.sha2(F.col(norm), 256))
-        .drop(norm)
-        .withColumn(word, F.shiftrightunsigned(slot, 6))
-    )
-    probed = rows.join(F.broadcast(small), word, "left")
-    found = F.col(bits_col).bitwiseAND(_bit(F.col(slot))) != 0
-    probed = probed.withColumn(hit, F.coalesce(found, F.lit(False))).drop(word, slot, bits_col)
+    hashed = docs.withColumn(norm, normalised(F.col(text))).withColumns({key: F.shiftrightunsigned(F.xxhash64(norm), 6), "text_sha256": F.sha2(norm, 256)}).drop(norm)
+    probed = probe(hashed, repeat_filter(words, bits), F.col(key), bits, hit).drop(key)
 
     straight = probed.filter(~F.col(hit)).drop(hit)
     straight = straight.withColumns({"keep_id": F.col(doc_id), "group_size": F.lit(1).cast("bigint"), "kept": F.lit(True)})

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidelog.llm import byte_bpe, chat_format, exact_dedup, fingerprints, html_text, language_id, packing, sharding, toxicity
+import corpus_pipeline
+from tidelog.llm import byte_bpe, chat_format, exact_dedup, fingerprints, html_text, language_id, ngram_join, packing, sharding, toxicity
 
 
 def queries() -> dict:
@@ -16,8 +17,10 @@ def queries() -> dict:
         "op7_chat_format": chat_format.op7_chat_format,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_html_text": html_text.op9_html_text,
+        "op10_ngram_join": ngram_join.op10_ngram_join,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op7_chat_format": chat_format.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op7_chat_format": chat_format.ORACLE_SQL, "op10_ngram_join": ngram_join.ORACLE_SQL}
