@@ -22,6 +22,7 @@ null ids are packed like any others. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -39,8 +40,8 @@ from tidelog.llm.tables import cut, table
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
 SLICES, NODES, FILLINGS = 64, 10_000, 400
-CACHE_CHUNKS = 400_000
-LATIN, TAIL = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,;:!?"
+CACHE_CHUNKS = 1_000_000
+SHAPE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 Pattern = tuple[int, ...]
 Plan = list[tuple[Pattern, int]]  # (lengths in a sequence, number of such sequences)
@@ -65,47 +66,43 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.chunks: dict[str, bytes] = {}
+        # For lower-case Latin words, on which the steps before the model only cost time.
+        plain = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, plain["pre_tokenizer"]["pretokenizers"][-1]]}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         """Add chunks to the cache."""
-        rest, tails = [], []
-        for chunk in new:
-            word = chunk.rstrip(TAIL)
-            if not LATIN.fullmatch(word):
-                rest.append(chunk)
-            elif word != chunk:
-                tails.append((chunk, word))
-        plain = list({w for _, w in tails}.union(c for c in new if LATIN.fullmatch(c)) - self.chunks.keys())
-        rest += {c[len(w) :] for c, w in tails} - self.chunks.keys()
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
+        shapes = [(c, m[1].lower(), m[2]) for c in new if (m := SHAPE.fullmatch(c))]
+        known = self.chunks
+        rest = list(new - {c for c, _, _ in shapes} | {t for _, _, t in shapes} - known.keys())
+        words = list({w for _, w, _ in shapes} - known.keys())
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(ends) != len(part):
                 rest += part
                 continue
             packed = ids.tobytes()
-            for word, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self.chunks[word] = packed[4 * a : 4 * b]
+            known.update(zip(part, [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         for at in range(0, len(rest), 2000):
             part = rest[at : at + 2000]
             for chunk, done in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.chunks[chunk] = np.array(done.ids, dtype="<u4").tobytes()
-        for chunk, word in tails:
-            self.chunks[chunk] = self.chunks[word] + self.chunks[chunk[len(word) :]]
+                known[chunk] = np.array(done.ids, dtype="<u4").tobytes()
+        known.update((c, known[w] + known[t]) for c, w, t in shapes)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        wanted = set().union(*split)
-        new = [c for c in wanted if c not in self.chunks]
-        if len(self.chunks) + len(new) > CACHE_CHUNKS:
+        if len(self.chunks) > CACHE_CHUNKS:
             self.chunks.clear()
-            new = list(wanted)
-        self.learn(new)
+        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        new = set().union(*[set(chunks).difference(self.chunks) for chunks in split])
+        if new:
+            self.learn(new)
         return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
 
 
