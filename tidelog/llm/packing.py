@@ -40,7 +40,7 @@ from tidelog.llm.tables import cut, table
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
 SLICES, NODES, FILLINGS = 64, 10_000, 400
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 800_000
 SHAPE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 Pattern = tuple[int, ...]
@@ -109,6 +109,13 @@ class ChunkTokenizer:
 _LOADED: dict[str, ChunkTokenizer] = {}
 
 
+def loaded(path: str) -> ChunkTokenizer:
+    """One tokenizer per worker process, so that its cache outlives a task."""
+    if path not in _LOADED:
+        _LOADED[path] = ChunkTokenizer(path)
+    return _LOADED[path]
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -122,9 +129,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, k
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _LOADED:
-            _LOADED[path] = ChunkTokenizer(path)
-        tokenizer = _LOADED[path]
+        tokenizer = loaded(path)
         for batch in batches:
             for part in slices(batch, 1):
                 rows: list[tuple] = []
