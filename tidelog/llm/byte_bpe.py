@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -34,7 +35,7 @@ from tidelog.llm.arrow_columns import with_python_columns
 from tidelog.llm.tables import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHE_CHUNKS, CACHE_WINDOWS, LEAF = 250_000, 250_000, 256
+CACHE_CHUNKS, CACHE_PIECES, CACHE_WINDOWS, SHORT, LEAF = 800_000, 600_000, 250_000, 8, 1 << 14
 #: Where a chunk may begin: at a space after a visible and before a visible character.
 CHUNKS = regex.compile(r"(?<=\S)(?= \S)")
 ODD = regex.compile(r"\s | \s|^ | $")
@@ -46,7 +47,14 @@ class TreeBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {i: b for b, i in ranks.items()}
+        self.widths = np.zeros(max(self.tokens, default=0) + 1, dtype=np.int64)
+        self.widths[list(self.tokens)] = [len(b) for b in self.tokens.values()]
+        self.starts = np.cumsum(self.widths) - self.widths
+        self.joined = np.frombuffer(b"".join(self.tokens[i] for i in sorted(self.tokens)), dtype=np.uint8)
         self.windows: dict[bytes, list[int]] = {}
+        self.halves: dict[bytes, list[int]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.pieces: dict[bytes, list[int]] = {}
         self.chunks: dict[str, bytes] = {}
 
     @classmethod
@@ -98,7 +106,13 @@ class TreeBpe:
 
     def stable(self, left: int, right: int) -> bool:
         """Whether two neighbouring tokens stay as they are."""
-        return self.window(self.tokens[left] + self.tokens[right]) == [left, right]
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
+        if known is None:
+            if len(self.pairs) >= CACHE_WINDOWS:
+                self.pairs.clear()
+            self.pairs[pair] = known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+        return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The monoid's operation: encoding of the concatenated bytes."""
@@ -121,15 +135,31 @@ class TreeBpe:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(data) <= 64 and (known := self.windows.get(data)) is not None:
-            return known
-        half = len(data) // 2
-        return self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
+        if len(data) > SHORT:
+            half = len(data) // 2
+            return self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
+        known = self.halves.get(data)
+        if known is None:
+            if len(self.halves) >= CACHE_WINDOWS:
+                self.halves.clear()
+            half = len(data) // 2
+            self.halves[data] = known = self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
+        return known
 
     def encode_chunk(self, chunk: str) -> bytes:
         """Encoding of a chunk as packed 32-bit ids."""
-        ids = [i for m in self.pattern.findall(chunk) for i in self.encode_piece(m.encode())]
-        packed = np.array(ids, dtype="<u4").tobytes()
+        ids: list[int] = []
+        for match in self.pattern.findall(chunk):
+            data = match.encode()
+            own = self.pieces.get(data)
+            if own is None:
+                own = self.encode_piece(data)
+                if len(data) <= 64:
+                    if len(self.pieces) >= CACHE_PIECES:
+                        self.pieces.clear()
+                    self.pieces[data] = own
+            ids += own
+        packed = array("I", ids).tobytes()
         if len(chunk) <= 64:
             if len(self.chunks) >= CACHE_CHUNKS:
                 self.chunks.clear()
@@ -149,10 +179,18 @@ class TreeBpe:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), dtype="<u4").tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
+    def leaf(self, ids: np.ndarray) -> bytes:
+        """Bytes of a run of ids, gathered from the joined vocabulary."""
+        widths = self.widths[ids]
+        ends = np.cumsum(widths)
+        return self.joined[np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends + widths, widths)].tobytes()
+
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
         """Bytes of a sequence of ids, concatenated up the tree."""
+        if len(ids) == 0:
+            return b""
         if len(ids) <= LEAF:
-            return b"".join(map(self.tokens.__getitem__, ids))
+            return self.leaf(np.asarray(ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
@@ -183,7 +221,8 @@ def decoder(path: str, pattern: str) -> Callable[[pa.Array], list[pa.Array]]:
     bpe = _bpe(path, pattern)
 
     def decode(ids: pa.Array) -> list[pa.Array]:
-        return [pa.array([bpe.decode(row) if row else b"" for row in ids.to_pylist()], pa.binary())]
+        values, bounds = ids.values.to_numpy(), ids.offsets.to_numpy()
+        return [pa.array([bpe.decode(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())]
 
     return decode
 
