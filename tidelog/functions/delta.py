@@ -77,7 +77,7 @@ def field_changes(op: Column, old: Column, new: Column) -> Column:
     none = F.lit(None).cast("string")
 
     def update(c: Column) -> Column:
-        before = F.element_at(F.filter(F.coalesce(old, F.array().cast(ROW)), lambda o: o["name"] == c["name"]), 1)
+        before = F.get(F.filter(F.coalesce(old, F.array().cast(ROW)), lambda o: o["name"] == c["name"]), 0)
         marker = F.when(c["unchanged"], "=").when(before.isNull(), "~").when(_same(before, c), "=").otherwise("*")
         return item(marker, c, F.when(before.isNotNull(), shown(before)), F.when(c["unchanged"], F.lit(None)).otherwise(shown(c)))
 
