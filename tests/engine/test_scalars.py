@@ -115,3 +115,21 @@ def test_delta(spark, op, old, new, kind, expected):
 def test_field_changes(spark):
     found = one(spark, delta.field_changes(F.lit("U"), image(spark, [c("a", "1", 23), c("b", "x")]), image(spark, [c("a", "1", 23), c("b", "y"), c("z", "n")])))
     assert [(r["marker"], r["name"], r["old_value"], r["new_value"]) for r in found] == [("=", "a", "1", "1"), ("*", "b", "'x'", "'y'"), ("~", "z", None, "'n'")]
+
+
+def test_sql_functions(spark):
+    from tidelog.functions import sql
+
+    sql.register(spark)
+    row = spark.sql("SELECT lsn_format(7075840L) a, lsn_parse('0/1A3F00') b, lsn_parse('16') c, CAST(pg_date(8766) AS STRING) d, CAST(pg_timestamp(5L) AS STRING) e, journal_field('{\"a\":1}', 'a') f, now_utc() g").first()
+    assert tuple(row)[:6] == ("0/006BF800", 1720064, 0, "2024-01-01", "2000-01-01 00:00:00.000005", "1") and row["g"].endswith("+00")
+
+
+def test_admin_statements():
+    from tidelog.sources import admin
+
+    assert admin.create_publication('p"q') == 'CREATE PUBLICATION "p""q" FOR ALL TABLES'
+    assert admin.create_publication("p", [("s", "t")]).endswith('FOR TABLE "s"."t"')
+    assert admin.drop_slot("o'x") == "SELECT pg_drop_replication_slot('o''x')"
+    assert "proto_version '1'" in admin.start_replication("s", "0/0", "pub") and admin.full_identity([("a", "b")]) == ['ALTER TABLE "a"."b" REPLICA IDENTITY FULL']
+    assert '"CDCxSession"' in admin.create_session_table() and "LOGICAL" in admin.create_slot("s")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -365,3 +366,85 @@ def pgoutput_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, _ = pgoutput.change_events(stage(pgoutput.decode(_frames(spark, sf_dir))))
     changes = transactions.assemble(stage(log))
     return changes.select(F.col("begin_seq").alias("seq"), *[routing.cell_text(F.col("new"), c).alias(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")])
+
+
+@query
+def demux_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions and bodies of data envelopes and keepalives."""
+    k, b = F.col("o_orderkey"), pgoutput.big_endian
+    letter = lambda s: F.encode(F.lit(s), "UTF-8")
+    data = F.concat(letter("w"), b(k, 8), b(k + 10, 8), b(k * 1000, 8), F.encode("o_orderpriority", "UTF-8"))
+    alive = F.concat(letter("k"), b(k + 10, 8), b(k * 1000, 8), b(k % 2, 1))
+    frames = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit(synth.TENANT).alias("tenant"), k.alias("seq"), F.when(k % 5 == 0, alive).otherwise(data).alias("payload"))
+    return pgoutput.demux(frames).select("seq", "kind", "data_start", "wal_end", "reply", F.decode("payload", "UTF-8").alias("body"))
+
+
+@query
+def binary_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows sent with binary cells: their texts by type."""
+    columns = [("k", 20, True), ("c", 23, False), ("day", 1082, False), ("ts", 1114, False), ("ok", 16, False), ("p", 25, False)]
+    relation = spark.createDataFrame([(-1, bytearray(pgoutput.encode_relation(9, "public", "b", columns)))], "seq long, payload binary")
+    k, b = F.col("o_orderkey"), pgoutput.big_endian
+    letter = lambda s: F.encode(F.lit(s), "UTF-8")
+    cell = lambda data: F.concat(letter("b"), b(F.length(data), 4), data)
+    cells = F.concat(cell(b(k, 8)), cell(b(F.col("o_custkey"), 4)), cell(b(k, 4)), cell(b(k * 1_000_000, 8)), cell(b(k % 2, 1)), cell(F.encode("o_orderpriority", "UTF-8")))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("seq"), F.concat(letter("I"), b(F.lit(9), 4), letter("N"), b(F.lit(len(columns)), 2), cells).alias("payload"))
+    log, _ = pgoutput.change_events(stage(pgoutput.decode(relation.unionByName(rows).withColumn("tenant", F.lit(synth.TENANT)))))
+    return log.select("seq", *[routing.cell_text(F.col("new"), c).alias(c) for c, _, _ in columns])
+
+
+@query
+def delta_key_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates whose old image has the key only: the key is compared, all else counts as changed."""
+    updates = synth.change_log(spark, sf_dir).filter(F.col("tag") == "U")
+    return updates.select("seq", delta.delta_json(F.col("tag"), F.col("old"), F.col("new"), F.lit("K")).alias("delta"))
+
+
+@query
+def tx_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions as rows with their changes in order."""
+    done = transactions.nested(transactions.assemble(stage(synth.change_log(spark, sf_dir))))
+    return done.select("xid", F.array_join(F.transform("changes", lambda c: F.concat(c["tag"], F.lit(":"), c["table_name"])), ",").alias("changes"))
+
+
+@query
+def missing_journals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    tables = nation.select(F.when(F.col("n_regionkey") == 4, "pg_catalog").otherwise("public").alias("table_schema"), F.col("n_name").alias("table_name"), F.when(F.col("n_nationkey") % 6 == 5, "VIEW").otherwise("BASE TABLE").alias("table_type"))
+    known = nation.filter(F.col("n_nationkey") % 3 == 0).select(F.lit("public").alias("table_schema"), F.col("n_name").alias("table_name"))
+    return catalog.missing_journals(catalog.user_tables(tables), known)
+
+
+@query
+def changed_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenants whose settings have changed since their worker was started."""
+    now = catalog.worker_configs(_configs(spark, sf_dir)).withColumnRenamed("ID", "id")
+    before = now.withColumn("DBHostPort", F.when(F.col("id") % 7 == 0, F.lit(1)).otherwise(F.col("DBHostPort")))
+    return control.changed_configs(before, now, ["DBHostPort", "TablePrefix"])
+
+
+@query
+def slot_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market segments as tenant names, in spellings that sanitise alike."""
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("Name")).distinct()
+    return catalog.slot_collisions(names.withColumn("SlotName", config.slot_name(F.col("Name")))).select("SlotName", "tenants")
+
+
+@query
+def transaction_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, data = routing.split(transactions.assemble(stage(synth.event_log(spark, sf_dir))))
+    return metrics.transaction_bytes(data).select("tenant", "begin_seq", "bytes")
+
+
+@query
+def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order frames through the streaming pipeline, read back from its journal."""
+    from tidelog.streaming import runner
+
+    frames = stage(_frames(spark, sf_dir))
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    frames.repartition(4).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(frames.schema).parquet(f"{folder}/in")
+    done = runner.start(pgoutput.decode(stream), f"{folder}/out", f"{folder}/state", options=runner.StreamOptions(frames=True, fallback="none"))
+    done.awaitTermination()
+    return runner.read(spark, f"{folder}/out").select("JournalID", "XID", "LSN", "Operation", "Data", "table_name")

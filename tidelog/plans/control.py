@@ -15,8 +15,8 @@ def reconcile(desired: DataFrame, running: DataFrame, most: int = MAX_WORKERS) -
     the control plane's size and not of the data's.
     """
     new = desired.join(running, "id", "left_anti")
-    stays = running.join(desired, "id", "left_semi").agg(F.count(F.lit(1)).alias("kept"))
-    placed = new.withColumn("place", F.row_number().over(Window.orderBy("name", "id"))).crossJoin(stays)  # one row
+    stays = running.join(desired, "id", "left_semi").agg(F.count(F.lit(1)).alias("kept"), F.lit(1).alias("one"))
+    placed = new.withColumns({"place": F.row_number().over(Window.orderBy("name", "id")), "one": F.lit(1)}).join(F.broadcast(stays), "one")  # one row
     start = placed.select("id", F.when(F.col("place") + F.col("kept") <= most, "start").otherwise("skip").alias("action"))
     stop = running.join(desired, "id", "left_anti").select("id", F.lit("stop").alias("action"))
     return start.unionByName(stop)

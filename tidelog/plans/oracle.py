@@ -106,4 +106,13 @@ SQL: dict[str, str] = {
     "identity_scan": "SELECT r_name AS nspname, n_name AS relname FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 <> 0",
     "publication_minus_untracked": "SELECT n_name AS tablename FROM nation WHERE n_nationkey % 4 <> 1 AND n_name NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 2)",
     "type_conversions": "SELECT o_orderkey, strftime(make_timestamp(946684800000000 + o_orderkey * 86399999999 + o_orderkey), '%Y-%m-%d %H:%M:%S') || CASE WHEN (o_orderkey * 86399999999 + o_orderkey) % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST((o_orderkey * 86399999999 + o_orderkey) % 1000000 AS VARCHAR), 6, '0') END || '+00' AS ts, CAST(DATE '2000-01-01' + CAST(o_orderkey AS INTEGER) AS VARCHAR) AS day, '\\x' || lower(hex(o_orderpriority)) AS bytes FROM orders",
+    "demux_envelopes": "SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN 'k' ELSE 'w' END AS kind, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS data_start, o_orderkey + 10 AS wal_end, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 2 = 1 END AS reply, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS body FROM orders",
+    "binary_decode": "SELECT o_orderkey AS seq, CAST(o_orderkey AS VARCHAR) AS k, CAST(o_custkey AS VARCHAR) AS c, CAST(DATE '2000-01-01' + CAST(o_orderkey AS INTEGER) AS VARCHAR) AS day, strftime(TIMESTAMP '2000-01-01' + o_orderkey * INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') AS ts, CASE WHEN o_orderkey % 2 = 1 THEN 't' ELSE 'f' END AS ok, o_orderpriority AS p FROM orders",
+    "delta_key_identity": LOG + """SELECT n * 1000 + 1 AS seq, '{"o_custkey":' || o_custkey || ',"o_orderstatus":"X","o_totalprice":' || CAST(o_totalprice AS DECIMAL(15,2)) || ',"o_orderpriority":"' || o_orderpriority || '"}' AS delta FROM oj WHERE step = 1""",
+    "tx_nested": LOG + ", a AS (SELECT n, seq, tag, table_name FROM ch UNION ALL SELECT n, begin_seq + 2, 'I', 'CDCxSession' FROM tx WHERE has_own) SELECT 1000 + n AS xid, string_agg(tag || ':' || table_name, ',' ORDER BY seq) AS changes FROM a GROUP BY n",
+    "missing_journals": "SELECT 'public' AS table_schema, n_name AS table_name FROM nation WHERE n_regionkey <> 4 AND n_nationkey % 6 <> 5 AND n_nationkey % 3 <> 0",
+    "changed_configs": CONFIG + "SELECT id FROM cfg WHERE id % 7 = 0",
+    "slot_collisions": "SELECT 'tidelog_slot_' || lower(c_mktsegment) AS \"SlotName\", count(DISTINCT CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END) AS tenants FROM customer GROUP BY 1 HAVING count(DISTINCT CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END) > 1",
+    "transaction_bytes": EVENTS + "SELECT f.tenant, f.cs AS begin_seq, CAST(sum(length(CAST(f.seq AS VARCHAR)) + length(f.event_type) + 18) AS BIGINT) AS bytes FROM f JOIN t ON t.tenant = f.tenant AND t.begin_seq = f.cs AND t.status = 'COMMITTED' WHERE f.tag = 'I' AND f.ct = 'B' GROUP BY ALL",
+    "stream_journal": """SELECT row_number() OVER (ORDER BY o_orderkey) AS "JournalID", o_orderkey + 1000 AS "XID", format('{:X}/{:08X}', (o_orderkey * 4096 + 16777216) >> 32, (o_orderkey * 4096 + 16777216) & 4294967295) AS "LSN", 'I' AS "Operation", '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}' AS "Data", 'orders' AS table_name FROM orders""",
 }

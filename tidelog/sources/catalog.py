@@ -68,3 +68,8 @@ def table_columns(columns: DataFrame, schema: str, table: str) -> list[SourceCol
     has = set(columns.columns)
     extra = [c for c in ("numeric_precision", "numeric_scale") if c in has]
     return [SourceColumn(r["column_name"], r["udt_name"], *(r[c] for c in extra)) for r in picked.select("column_name", "udt_name", *extra).collect()]  # one table's columns
+
+
+def missing_journals(tables: DataFrame, journals: DataFrame) -> DataFrame:
+    """Tables that have no journal yet."""
+    return tables.join(journals, ["table_schema", "table_name"], "left_anti")
