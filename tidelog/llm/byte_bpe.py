@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from tidelog.llm.arrow_columns import with_python_columns
 from tidelog.llm.tables import table
+from tidelog.llm.worker_cache import claim
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CACHE_CHUNKS, CACHE_PIECES, CACHE_WINDOWS, SHORT, LEAF = 800_000, 600_000, 250_000, 8, 1 << 14
@@ -195,14 +196,12 @@ class TreeBpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-_LOADED: dict[tuple[str, str], TreeBpe] = {}
-
-
 def _bpe(path: str, pattern: str) -> TreeBpe:
     """One instance per worker, so that its caches outlive a task."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = TreeBpe.load(path, pattern)
-    return _LOADED[path, pattern]
+    kept = claim("byte_bpe")
+    if (path, pattern) not in kept:
+        kept[path, pattern] = TreeBpe.load(path, pattern)
+    return kept[path, pattern]
 
 
 def encoder(path: str, pattern: str) -> Callable[[pa.Array], list[pa.Array]]:

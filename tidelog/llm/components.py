@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.tables import cut
+from tidelog.llm.tables import cut, packed
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to the smallest among it and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def stars(edges: DataFrame) -> DataFrame:
     now = cut(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct())
     mark = _mark(now)
     while mark[0]:
-        now = cut(_small_star(_large_star(now)))
+        now = cut(_small_star(_large_star(packed(now, mark[0]))))
         before, mark = mark, _mark(now)
         if mark == before:
             break

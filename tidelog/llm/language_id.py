@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from tidelog.llm.arrow_columns import with_python_columns
 from tidelog.llm.tables import table
+from tidelog.llm.worker_cache import claim
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE_DOCS, SAMPLE_WORDS, MAX_LANGUAGES, MAX_WORD = 600, 20_000, 256, 60
@@ -151,6 +152,7 @@ def train(counts: dict[str, Counter], pieces: list[str]) -> LanguageModel:
 
 def scorer(model: LanguageModel) -> Callable[[pa.Array], list[pa.Array]]:
     """The function from texts to (lang_pred, score), with a bounded cache of words."""
+    claim("language_id")
     lattices = Lattices(model.pieces)
     cache: dict[str, int] = {}
     table_ = np.zeros((1024, len(model.languages)))

@@ -17,10 +17,13 @@ first n - ceil(PERCENT * n / 100) + 1 in that order, its prefix.
 Documents that share a prefix n-gram form its list. A pair's overlap is counted
 in each of ``CUTS`` vertical fragments of the two sets separately and summed per
 pair. Lists are not expanded into all pairs: first every document of a list is
-compared to one pivot; the links found contract the documents into components;
-and only pairs of different components that share a list are left. Rounds with
-other pivots go on while those are many; at last every one of them (of fitting
-sizes) is counted, so that no link between components is missed.
+compared to one pivot, and the links found contract the documents into
+components. Rounds with other pivots go on while many documents are outside
+their lists' main components. What is left is settled exactly: lists that still
+mix components are gathered into families, and every document outside its
+family's main component is counted against every member of the family, in
+blocks of bounded size that hand back links only. So no link between
+components is missed, and no pairs are spelled out.
 
 Defined results: words are runs of other characters than space and U+0009 to
 U+000D, and A-Z are lower-cased. A text of fewer words than a shingle is one
@@ -44,12 +47,16 @@ from pyspark.sql import functions as F
 from tidelog.llm.arrow_columns import slices
 from tidelog.llm.components import stars
 from tidelog.llm.exact_dedup import filter_bits, probe, repeat_filter
-from tidelog.llm.tables import cut, fresh, table
+from tidelog.llm.tables import cut, fresh, packed, table
+from tidelog.llm.worker_cache import claim
 
 SHINGLE, PERCENT, CUTS = 5, 75, 4
-BATCH_BYTES, FRAGMENT_BYTES, LEAST_FRAGMENTS = 8 << 20, 16 << 20, 24
+BATCH_BYTES, FRAGMENT_BYTES, LEAST_FRAGMENTS = 4 << 20, 8 << 20, 24
 #: Pivot rounds go on while the pairs left outnumber the rows of the lists this many times.
-FEW, MOST_ROUNDS = 1, 6
+FEW, MOST_ROUNDS = 50, 4
+SETS_PER_TASK = 2000
+#: Documents outside and members in a block.
+OUTSIDE, MEMBERS = 256, 1024
 MANY = np.uint32(1 << 31)  # marks an n-gram of several documents of a batch; the rest is their number
 WORD_SALTS = [np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1 | 1) for k in (1, 3, 7, 11, 19)]
 
@@ -103,6 +110,7 @@ def sender(fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
+        claim("ngram_join")
         number = TaskContext.get().partitionId() << 24
         for whole in batches:
             for part in slices(whole, 1, BATCH_BYTES):
@@ -225,8 +233,11 @@ def _fits() -> F.Column:
 
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that link, by overlaps counted in vertical fragments and summed."""
+    keys = pairs.select(F.col("a").alias("word")).unionByName(pairs.select(F.col("b").alias("word"))).distinct()
+    bits = filter_bits(2 * pairs.count())
+    needed = probe(sets, repeat_filter(keys, bits), F.col("key"), bits, "_needed").filter("_needed")  # the others stay where they are
     part = lambda k: F.struct(F.lit(k).alias("cut"), F.filter("shared", lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(CUTS - 1) == k).alias("grams"))
-    parted = sets.select("key", F.inline(F.array(*[part(k) for k in range(CUTS)])))
+    parted = needed.select("key", F.inline(F.array(*[part(k) for k in range(CUTS)])))
     with_b = pairs.select("a", "b", "na", "nb").join(parted.select(F.col("key").alias("b"), "cut", F.col("grams").alias("of_b")), "b")
     both = with_b.join(parted.select(F.col("key").alias("a"), "cut", F.col("grams").alias("of_a")), ["a", "cut"])
     partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("of_a", "of_b")).alias("overlap"))
@@ -250,12 +261,38 @@ def _pivots(lists: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.col("p.key").alias("a"), F.col("key").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.s").alias("sa"), F.col("s").alias("sb")).filter(_fits()).distinct()
 
 
-def _left_over(lists: DataFrame) -> DataFrame:
+def block_links(rows: pa.Table) -> pa.Table:
+    """Links of a block between its documents outside the main component and its members, of different components."""
+    outside = np.array(rows.column("outside").to_pylist(), dtype=bool)
+    keys, n, labels = (rows.column(c).to_numpy() for c in ("key", "n", "label"))
+    sets = rows.column("shared").combine_chunks()
+    values, bounds = sets.values.to_numpy(), sets.offsets.to_numpy()
+    members = np.flatnonzero(~outside)
+    size = np.diff(bounds)[members]
+    grams = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in members]) if len(members) else values[:0]
+    owner = np.repeat(np.arange(len(members), dtype=np.int32), size)
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    found_u, found_v = [], []
+    for i in np.flatnonzero(outside):
+        own = np.sort(values[bounds[i] : bounds[i + 1]])
+        low, high = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
+        width = high - low
+        hits = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
+        overlap = np.bincount(owner[hits], minlength=len(members))
+        linked = (100 * overlap >= PERCENT * (n[i] + n[members] - overlap)) & (labels[members] != labels[i])
+        found_u.append(np.full(linked.sum(), keys[i]))
+        found_v.append(keys[members][linked])
+    empty = np.zeros(0, np.int64)
+    return pa.table({"u": np.concatenate([empty, *found_u]), "v": np.concatenate([empty, *found_v])})
+
+
+def _list_pairs(lists: DataFrame) -> DataFrame:
     """Every pair of different components that shares a list: those outside a list's main component with all others of it."""
     by_label = lists.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"))
     main = by_label.groupBy("gram").agg(F.max(F.struct("c", "label")).alias("m")).select("gram", F.col("m.label").alias("main"))
-    strays = lists.join(main, "gram").filter(F.col("label") != F.col("main")).select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("label").alias("lx"))
-    met = strays.join(lists, "gram").filter(F.col("label") != F.col("lx"))
+    outside = lists.join(main, "gram").filter(F.col("label") != F.col("main")).select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("label").alias("lx"))
+    met = outside.join(lists, "gram").filter(F.col("label") != F.col("lx"))
     first = F.col("x") < F.col("key")
     side = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
     pairs = met.select(
@@ -264,6 +301,40 @@ def _left_over(lists: DataFrame) -> DataFrame:
     return pairs.filter(_fits()).distinct()
 
 
+def _left_over(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links (u, v) that are left between components that share a list.
+
+    By family (lists tied together by the documents they share), in the cheaper
+    of two ways: blocks of the documents outside the main component and all
+    members, which suits dense families, or the pairs that share a list, which
+    suits loose ones.
+    """
+    root = lists.groupBy("gram").agg(F.min("key").alias("v"))
+    tied = stars(lists.join(root, "gram").select(F.col("key").alias("u"), "v"))
+    placed = cut(lists.join(tied.select(F.col("u").alias("key"), F.col("v").alias("family")), "key", "left").withColumn("family", F.coalesce("family", "key")))
+
+    members = placed.select("family", "key", "n", "label").distinct()
+    by_label = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = by_label.groupBy("family").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all")).withColumn("out", F.col("all") - F.col("m.c"))
+    parts = lambda c, size: F.ceil(F.col(c) / F.lit(size)).cast("int")
+    sized = main.select("family", F.col("m.label").alias("main"), "all", "out", parts("out", OUTSIDE).alias("outer"), parts("all", MEMBERS).alias("inner")).filter(F.col("out") > 0)
+    in_list = placed.groupBy("family", "gram", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("family", "gram").agg(F.sum("c").alias("all"), F.max("c").alias("most"))
+    by_pairs = in_list.groupBy("family").agg(F.sum((F.col("all") - F.col("most")) * F.col("all").cast("double")).alias("pairs"))
+    loose = F.col("pairs") < F.col("all") * F.col("outer") + F.col("out") * F.col("inner")
+    sized = cut(sized.join(by_pairs, "family").withColumn("loose", loose))
+
+    rows = members.join(sized.filter(~F.col("loose")), "family")
+    part = lambda of, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    columns = ["family", "key", "n", "label"]
+    as_member = rows.select(*columns, F.lit(False).alias("outside"), every("outer").alias("o"), part("inner", "m").alias("i"))
+    as_outside = rows.filter(F.col("label") != F.col("main")).select(*columns, F.lit(True).alias("outside"), part("outer", "o").alias("o"), every("inner").alias("i"))
+    blocks = as_member.unionByName(as_outside).join(sets, "key").groupBy("family", "o", "i").applyInArrow(block_links, "u long, v long")
+
+    pairs = cut(_list_pairs(placed.join(sized.filter("loose").select("family"), "family").drop("family")))
+    return blocks.unionByName(links(pairs, sets))
+
+
 def _work(lists: DataFrame) -> tuple[int, int]:
     """Pairs that ``_left_over`` would make at most, and rows of the lists."""
     by_label = lists.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -278,29 +349,24 @@ def components(documents: DataFrame) -> DataFrame | None:
     rows = able.select("key", "n", F.size("shared").alias("s"), F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("gram")).distinct()
     several = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select("gram")
     lists = cut(rows.join(several, "gram"))
+    lists = packed(lists, lists.count())
     sets = cut(able.select("key", "shared").join(lists.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
+    sets = packed(sets, sets.count(), SETS_PER_TASK)
     found: DataFrame | None = None
-    tested: DataFrame | None = None
     for turn in range(MOST_ROUNDS):
-        lists = cut(_labelled(lists, found).select("gram", "key", "n", "s", "label")) if turn else lists.withColumn("label", F.col("key"))
-        pairs, size = _work(lists)
+        labelled = lists.withColumn("label", F.col("key")) if found is None else cut(_labelled(lists, found).select("gram", "key", "n", "s", "label"))
+        pairs, size = _work(labelled)
         if not pairs:
             return found
         if turn and pairs <= FEW * size:
             break
-        chosen = cut(_pivots(lists, turn))
-        lists = lists.drop("label")
-        new = links(chosen, sets)
+        labelled = packed(labelled, size)
+        new = links(cut(_pivots(labelled, turn)), sets)
         found = stars(new if found is None else found.unionByName(new))
-        once = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tested = once if tested is None else tested.unionByName(once)
-    if "label" not in lists.columns:
-        lists = cut(_labelled(lists, found).select("gram", "key", "n", "s", "label"))
-    rest = _left_over(lists)
-    if tested is not None:
-        rest = rest.join(tested.distinct(), ["a", "b"], "left_anti")
-    new = links(cut(rest), sets)
-    return stars(new if found is None else found.unionByName(new))
+        lists = labelled.drop("label")
+    rest = cut(_labelled(lists, found).select("gram", "key", "n", "s", "label"))
+    new = _left_over(packed(rest, rest.count()), sets)
+    return stars(found.unionByName(new))
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.arrow_columns import slices
 from tidelog.llm.tables import cut, table
+from tidelog.llm.worker_cache import claim
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
 SLICES, NODES, FILLINGS = 64, 10_000, 400
@@ -106,14 +107,12 @@ class ChunkTokenizer:
         return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
 
 
-_LOADED: dict[str, ChunkTokenizer] = {}
-
-
 def loaded(path: str) -> ChunkTokenizer:
     """One tokenizer per worker process, so that its cache outlives a task."""
-    if path not in _LOADED:
-        _LOADED[path] = ChunkTokenizer(path)
-    return _LOADED[path]
+    kept = claim("packing")
+    if path not in kept:
+        kept[path] = ChunkTokenizer(path)
+    return kept[path]
 
 
 def vocabulary_path() -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{uuid.uuid4().hex}")
 
 
+def release(session: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now, not at the driver's next collection of garbage."""
+    gc.collect()
+    session._jvm.System.gc()
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the shared checkpoint folder and continue from there."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Write ``frame`` to the shared checkpoint folder and continue from there.
+
+    What was shuffled to make it is of no more use then, and released.
+    """
+    session = frame.sparkSession
+    ensure_checkpoint_dir(session)
+    done = frame.checkpoint(eager=True)
+    del frame
+    release(session)
+    return done
+
+
+def packed(frame: DataFrame, n: int, per_task: int = 50_000) -> DataFrame:
+    """A cut ``frame`` of ``n`` rows in no more partitions than these are worth, so that small tables make few shuffle files."""
+    return frame.coalesce(n // per_task + 1)
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from tidelog.llm.arrow_columns import with_python_columns
 from tidelog.llm.language_id import held_out
 from tidelog.llm.tables import table
+from tidelog.llm.worker_cache import claim
 
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 10_000
 SHORTEST, LONGEST, MIN_DOCS, MIN_RATIO, MAX_WORD = 3, 5, 4, 0.5, 60
@@ -113,6 +114,7 @@ def train(texts: list[str], labels: list[int], shares: tuple[float, float] = (0.
 
 def scorer(model: ToxicityModel) -> Callable[[pa.Array], list[pa.Array]]:
     """The function from texts to (score, predicted), with a bounded cache of words."""
+    claim("toxicity")
     grams = list(model.weights)
     ids = {g: i for i, g in enumerate(grams)}
     weights = [model.weights[g] for g in grams]
