@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import exact_dedup, language_id, ngram_join, packing, toxicity
@@ -22,23 +22,32 @@ LEAST_SCORE = 0.5
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def guarded(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with working names for all columns but those that are used, and the way back to their own names."""
+    names = [c if c in used else f"_own{i}" for i, c in enumerate(docs.columns)]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    return renamed, [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labelled ones among them, doesn't find toxic."""
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model)
-    return scored.filter(F.col("predicted") == 0).select(*docs.columns)
+    rows, own = guarded(docs, "text")
+    return toxicity.score(rows, model).filter(F.col("predicted") == 0).select(*own)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told."""
     model = language_id.fit(docs.select("doc_id", "lang", "text"))
-    named = language_id.identify(docs, model)
-    return named.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    rows, own = guarded(docs, "text")
+    told = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    return language_id.identify(rows, model).filter(told).select(*own)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup.exact_dedup(docs).filter("kept").select(*docs.columns)
+    rows, own = guarded(docs, "text", "doc_id")
+    return exact_dedup.exact_dedup(rows).filter("kept").select(*own)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
