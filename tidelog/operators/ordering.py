@@ -24,24 +24,16 @@ def forward_fill(rows: DataFrame, keys: list[str], order: str, value: Column, in
 
     Works on groups of any size; rows of one bucket of one group share a task.
     """
-    work = rows.withColumns({"_value": value, "_bucket": bucket(F.col(order), width)})
-    in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    local = work.withColumn("_local", F.last("_value", True).over(in_bucket))
-    ends = work.filter(F.col("_value").isNotNull()).groupBy(*keys, "_bucket").agg(F.max_by("_value", order).alias("_end"))
-    # One row per bucket that has any value; each is carried up to the next such bucket.
-    spans = ends.withColumn("_next", F.lead("_bucket").over(Window.partitionBy(*keys).orderBy("_bucket")))
-    used = work.select(*keys, "_bucket").distinct()
-    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    marks = spans.select(*named, F.col("_bucket").alias("_from"), "_end")
-    both = used.select(*keys, "_bucket", F.lit(None).cast(ends.schema["_end"].dataType).alias("_end"), F.lit(0).alias("_kind")).unionByName(
-        marks.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("_from").alias("_bucket"), "_end", F.lit(1).alias("_kind"))
-    )
-    before = Window.partitionBy(*keys).orderBy("_bucket", "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    carried = both.withColumn("_carry", F.last("_end", True).over(before)).filter(F.col("_kind") == 0).drop("_end", "_kind")
-    on = [local[k].eqNullSafe(F.col(f"_c{i}")) for i, k in enumerate(keys)] + [F.col("_bucket") == F.col("_cb")]
-    carried = carried.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_cb"), "_carry")
-    joined = local.join(carried, on, "left")
-    return joined.withColumn(into, F.coalesce("_local", "_carry")).select(*rows.columns, into)
+    # Keys as one struct: its equality holds for null keys too, so that one partitioning serves windows and join.
+    work = rows.withColumns({"_key": F.struct(*keys), "_value": value, "_bucket": bucket(F.col(order), width)})
+    in_bucket = Window.partitionBy("_key", "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = work.withColumn("_local", F.last("_value", True).over(in_bucket)).drop("_value")
+    # One row per bucket: its last value, and the last one of the buckets before it.
+    ends = work.groupBy("_key", "_bucket").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_end"))
+    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_key", "_bucket", F.last("_end", True).over(before).alias("_carry"))
+    joined = local.join(carried, ["_key", "_bucket"])
+    return joined.select(*rows.columns, F.coalesce("_local", "_carry").alias(into))
 
 
 def sequence_number(rows: DataFrame, keys: list[str], order: str, into: str, ties: list[str] | None = None, width: int = BUCKET) -> DataFrame:

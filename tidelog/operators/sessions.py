@@ -45,12 +45,13 @@ def _fill_by_time(both: DataFrame, width: int) -> DataFrame:
     return local.join(carry, ["tenant", "_bucket"]).withColumn("session", F.coalesce("_local", "_carry"))
 
 
-def enrich(changes: DataFrame, context: DataFrame, sessions: DataFrame | None = None, fallback: str = "asof") -> DataFrame:
+def enrich(changes: DataFrame, context: DataFrame, sessions: DataFrame | None = None, fallback: str = "asof", commits: DataFrame | None = None) -> DataFrame:
     """``changes`` plus user_id and app_name.
 
     The transaction's own context wins by its presence, even where its user is
     empty. Otherwise the fallback: the session row as of the commit, the latest
-    one, or none. Empty strings become null.
+    one, or none. Empty strings become null. ``commits`` (tenant, begin_seq,
+    commit_ts) saves finding them among the changes.
     """
     if fallback not in FALLBACKS:
         raise ValueError(f"fallback must be one of {FALLBACKS}")
@@ -63,8 +64,9 @@ def enrich(changes: DataFrame, context: DataFrame, sessions: DataFrame | None =
         latest = latest_session(sessions).select("tenant", F.struct("user_id", "app_name").alias("_other"))
         joined = joined.join(latest, "tenant", "left")
     else:
-        commits = changes.select("tenant", "begin_seq", "commit_ts").distinct()
-        found = asof_session(commits, sessions).select("tenant", "begin_seq", F.col("session").alias("_other"))
+        if commits is None:
+            commits = changes.select("tenant", "begin_seq", "commit_ts").distinct()
+        found = asof_session(commits.select("tenant", "begin_seq", "commit_ts"), sessions).select("tenant", "begin_seq", F.col("session").alias("_other"))
         joined = joined.join(found, ["tenant", "begin_seq"], "left")
     chosen = F.when(F.col("_own").isNotNull(), F.col("_own")).otherwise(F.col("_other"))
     clean = lambda c: F.nullif(chosen[c], F.lit(""))

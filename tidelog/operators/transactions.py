@@ -54,9 +54,11 @@ def strays(log: DataFrame, width: int = BUCKET) -> DataFrame:
     return attach(log, width).filter(F.col("begin_seq").isNull()).drop("begin_seq")
 
 
-def assemble(log: DataFrame, max_tx_bytes: int | None = None, width: int = BUCKET) -> DataFrame:
+def assemble(log: DataFrame, max_tx_bytes: int | None = None, width: int = BUCKET, known: DataFrame | None = None) -> DataFrame:
     """Changes of committed transactions with the transaction's columns.
 
+    ``known`` are the log's ``transactions``, where they have been made already.
+
     ``max_tx_bytes``, off by default, drops the changes that come once a
     transaction's images hold that many bytes of text already.
     """
@@ -65,7 +67,7 @@ def assemble(log: DataFrame, max_tx_bytes: int | None = None, width: int = BUCKE
         text = lambda row: F.aggregate(F.coalesce(F.col(row), F.array()), F.lit(0), lambda n, c: n + F.coalesce(F.octet_length(c["text"]), F.lit(0)))
         before = Window.partitionBy("tenant", "begin_seq").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
         changes = changes.withColumn("_bytes", F.coalesce(F.sum(text("old") + text("new")).over(before), F.lit(0))).filter(F.col("_bytes") <= max_tx_bytes).drop("_bytes")
-    committed = transactions(log, width).filter(F.col("status") == "COMMITTED").drop("status")
+    committed = (transactions(log, width) if known is None else known).filter(F.col("status") == "COMMITTED").drop("status")
     return changes.join(committed, ["tenant", "begin_seq"])
 
 

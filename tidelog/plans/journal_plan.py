@@ -13,15 +13,22 @@ from tidelog.sources.staging import stage
 def enriched(log: DataFrame, session_rows: DataFrame | None = None, *, prefix: str = "CDCx", untracked: list[str] | DataFrame = (), fallback: str = "asof") -> DataFrame:
     """Changes of committed transactions, without session rows and untracked tables, with who made them.
 
-    The filter on tables comes first, on the log itself, so that untracked rows
-    take no part in any shuffle; control rows have no table and pass.
+    The log is parted before anything is shuffled: session rows on one side,
+    tracked changes on the other, control rows on both. Transactions are found
+    once, on control rows, and staged, as three branches need them; the changes
+    themselves go through one ordered pass and equi-joins by transaction.
     """
-    if isinstance(untracked, list) and untracked and len(untracked) <= routing.LITERAL_NAMES:
-        log = log.filter(F.col("table_name").isNull() | ~F.col("table_name").isin(untracked) | routing.is_session_row(prefix))
-        untracked = []
-    changes = transactions.assemble(log)
-    own, data = routing.split(changes, prefix)
-    return sessions.enrich(routing.tracked(data, list(untracked) if not isinstance(untracked, DataFrame) else untracked), routing.session_context(own), session_rows, fallback)
+    control = F.col("tag").isin(transactions.CONTROL)
+    session = F.coalesce(routing.is_session_row(prefix), F.lit(False))
+    known = stage(transactions.transactions(log.filter(control)))
+    own = routing.session_context(transactions.assemble(log.filter(control | session), known=known))
+    data = log.filter(control | ~session)
+    if isinstance(untracked, DataFrame):
+        data = data.filter(control).unionByName(routing.tracked(data.filter(~control), untracked).select(data.columns))
+    elif untracked:
+        data = data.filter(control | ~F.col("table_name").isin(list(untracked)))
+    commits = known.filter(F.col("status") == "COMMITTED")
+    return sessions.enrich(transactions.assemble(data, known=known), own, session_rows, fallback, commits)
 
 
 def journal_of(log: DataFrame, session_rows: DataFrame | None = None, captured_at=None, **options) -> DataFrame:
