@@ -7,6 +7,7 @@ import random
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The default table prefix and port, the log levels and the worker states.
 DEFAULT_PREFIX, DEFAULT_PORT, SLOT_PREFIX = "CDCx", 5432, "tidelog_slot_"
 LOG_LEVELS = {"trace": 0, "debug": 1, "info": 2, "warn": 3, "error": 4, "fatal": 5}
 WORKER_STATES = ["IDLE", "CONNECTING", "STREAMING", "PAUSED", "RECONNECTING", "STOPPING", "STOPPED", "FAILED"]

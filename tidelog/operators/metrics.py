@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Upper bounds (exclusive) of the latency buckets in microseconds, and what a bucket reports.
+# Upper bounds (exclusive) of the latency buckets in microseconds, and what a bucket reports.
 BOUNDS = [100, 500, 1000, 5000, 10000, 50000, 100000]
 MIDPOINTS = [50, 300, 750, 3000, 7500, 30000, 75000, 200000]
 STALE_SECONDS = 300
