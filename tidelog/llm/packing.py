@@ -41,7 +41,7 @@ from tidelog.llm.worker_cache import claim
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
 SLICES, NODES, FILLINGS = 64, 10_000, 400
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 500_000
 SHAPE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 Pattern = tuple[int, ...]
