@@ -8,7 +8,8 @@ highest probability, its score the posterior under equal priors.
 
 Training: expectation maximisation (forward-backward over the same lattices) on
 a bounded sample: about ``SAMPLE_DOCS`` documents of each language, chosen by a
-hash of the id, of whose words the ``SAMPLE_WORDS`` most frequent count.
+hash of the id, of whose words the ``SAMPLE_WORDS`` most frequent count (fewer
+where there are many languages: ``ALL_WORDS`` in all).
 At most ``MAX_LANGUAGES`` languages (the most frequent) are learned. Scoring
 covers every word of every text.
 
@@ -37,7 +38,7 @@ from tidelog.llm.tables import table
 from tidelog.llm.worker_cache import claim
 
 VOCABULARY = "piece_bpe_32k.model"
-SAMPLE_DOCS, SAMPLE_WORDS, MAX_LANGUAGES, MAX_WORD = 600, 20_000, 256, 60
+SAMPLE_DOCS, SAMPLE_WORDS, ALL_WORDS, MAX_LANGUAGES, MAX_WORD = 600, 20_000, 400_000, 256, 60
 ROUNDS, SMOOTHING, UNKNOWN = 4, 0.05, 1e-7
 CACHE_WORDS = 250_000
 UNDETERMINED, MARK = "und", "▁"
@@ -164,8 +165,9 @@ def scorer(model: LanguageModel) -> Callable[[pa.Array], list[pa.Array]]:
         while len(cache) + len(new) > len(table_):
             table_ = np.concatenate([table_, np.zeros_like(table_)])
         new.sort(key=len)  # lattices of like length share their steps
-        for at in range(0, len(new), 4000):
-            part = new[at : at + 4000]
+        size = max(64, 16_000 // len(model.languages))  # bounds the lattices' memory
+        for at in range(0, len(new), size):
+            part = new[at : at + size]
             table_[len(cache) : len(cache) + len(part)] = lattices.log_probability(part, model.weights)
             cache.update(zip(part, range(len(cache), len(cache) + len(part)), strict=True))
 
@@ -215,7 +217,7 @@ def word_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, Co
                 yield pd.DataFrame({"lang": lang, "word": list(found), "n": list(found.values())})
 
     counted = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("at") <= SAMPLE_WORDS)
+    top = counted.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("at") <= min(SAMPLE_WORDS, ALL_WORDS // len(sizes)))
     counts: dict[str, Counter] = {}
     for row in top.select("lang", "word", "n").collect():
         counts.setdefault(row["lang"], Counter())[row["word"]] = row["n"]
