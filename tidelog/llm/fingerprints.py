@@ -7,12 +7,11 @@ tend to fall into step again after each edit (edit distance becomes Hamming
 distance of the walks' outputs). As the time until then has a heavy tail, walks
 start afresh at anchors, characters whose last ``CONTEXT`` characters hash to 0
 modulo ``SPACING``; an edit thus disturbs its own stretch at most. A fingerprint
-samples the output: the coordinates (anchor, time, character with
-its context) at which
-characters begin are dealt to ``GROUPS`` groups with a sign each by a hash, and
-a group's digit is the sign of its sum (+, - or 0). The
-likeness of two fingerprints is the share of digits that agree among those not
-0 in both, rescaled so that unrelated texts come out at about 0.
+samples the output: the coordinates (anchor, time, character with its context)
+at which characters begin are dealt to ``GROUPS`` groups with a sign each by a
+hash, and a group's digit is the sign of its sum (+, - or 0). The likeness of
+two fingerprints is the share of digits that agree among those not 0 in both,
+rescaled so that unrelated texts come out at about 0.
 
 Near pairs are found by bit-sampled banding: a band is a sample of digits, and
 documents equal in a band are candidates, which are then verified on the whole
@@ -74,12 +73,13 @@ def stretches(points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     """Where walks start (each text's first character and the anchors), their hashes, and the hash of every character's context."""
     h = np.zeros(len(points), dtype=np.uint64)
     wide = points.astype(np.uint64)
-    for back in range(CONTEXT):
-        h[back:] += wide[: len(wide) - back] * np.uint64((0x9E3779B97F4A7C15 * (2 * back + 1)) & (1 << 64) - 1)
+    place = np.arange(len(points)) - np.repeat(first, np.diff(np.append(first, len(points))))
+    for back in range(CONTEXT):  # a context never reaches into the text before
+        own = wide[: len(wide) - back] * np.uint64((0x9E3779B97F4A7C15 * (2 * back + 1)) & (1 << 64) - 1)
+        h[back:] += np.where(place[back:] >= back, own, np.uint64(0))
     h = mixed(h)
     starts = h % np.uint64(SPACING) == 0
-    for back in range(CONTEXT - 1):  # the context would reach into the text before
-        starts[np.minimum(first + back, len(points) - 1)] = False
+    starts &= place >= CONTEXT - 1
     starts[first] = True
     at = np.flatnonzero(starts)
     return at, np.where(np.isin(at, first), np.uint64(SEED), h[at]), h
