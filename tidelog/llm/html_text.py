@@ -51,6 +51,8 @@ COMMENT_WORDS = frozenset("comment comments reply replies response responses rel
 LAYOUT_WORDS = frozenset("has with no without".split())
 CONTAINERS = frozenset("html body article main section div td blockquote center".split())
 ARTICLES = frozenset(("article", "main"))
+#: A tag that the page ends in the middle of.
+UNENDED = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
@@ -157,7 +159,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = LineParser()
-    parser.feed(html)
+    parser.feed(UNENDED.sub("", html))
     parser.close()
     parser.flush()
     lines = parser.lines
