@@ -152,6 +152,26 @@ def test_near_pairs(spark):
     assert len(planted & pairs) >= 0.9 * len(planted) and len(pairs) <= len(planted) + 2
 
 
+@pytest.mark.parametrize("block", [1024, 20])
+def test_near_pairs_of_mixed_buckets(spark, monkeypatch, block):
+    """Short bands, so that unrelated fingerprints share every bucket: no pair of a bucket goes uncompared, in one block or many."""
+    monkeypatch.setattr(fingerprints, "DIGITS", 4)
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    digits = rng.integers(-1, 2, (1500, fingerprints.GROUPS)).astype(np.int8)
+    digits = np.concatenate([digits, np.where(rng.random((300, fingerprints.GROUPS)) < 0.1, rng.integers(-1, 2, (300, fingerprints.GROUPS)), digits[:300]).astype(np.int8)])
+    chosen = np.random.default_rng(fingerprints.SEED + 1).permutation(fingerprints.GROUPS)[: fingerprints.BANDS * 4].reshape(-1, 4)
+    prints, expected = [fingerprints.to_text(d) for d in digits], {}
+    for i, own in enumerate(digits):
+        rest = digits[i + 1 :]
+        near = fingerprints.likeness(np.broadcast_to(own, rest.shape), rest)
+        shared = (rest[:, chosen] == own[chosen]).all(2).any(1)
+        expected |= {tuple(sorted((prints[i], prints[j + i + 1]))): near[j] for j in np.flatnonzero((near >= fingerprints.NEAR) & shared)}
+    frame = spark.createDataFrame([(p,) for p in prints], "fingerprint string")
+    found = fingerprints.near_pairs(frame).collect()
+    assert len(expected) >= 290 and len(found) == len(expected) and {(r["a"], r["b"]): r["near"] for r in found} == expected
+
+
 # --- packing ------------------------------------------------------------------
 
 

@@ -15,9 +15,12 @@ rescaled so that unrelated texts come out at about 0.
 
 Near pairs are found by bit-sampled banding: a band is a sample of digits, and
 documents equal in a band are candidates, which are then verified on the whole
-fingerprint. Equal fingerprints are collapsed first, and within a band's bucket
-each fingerprint is compared to the bucket's first and to its neighbour in
-order, so that the work is linear in the rows whatever a bucket's size.
+fingerprint. Equal fingerprints are collapsed first; within a band's bucket all
+are compared with all, in blocks of about two times ``BLOCK`` rows at most, so
+that a hot bucket is many small tasks' work. Bands do not get longer with the
+number of rows, as that would lose pairs near the threshold; the comparisons of
+unrelated texts thus grow with the square of the rows over 3^``DIGITS``. The
+registered query does not use banding.
 
 The pairing of each document with the next one (by falling id) is a range
 partitioning by id; only the rows at the partitions' edges are matched up in a
@@ -39,7 +42,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.arrow_columns import slices
@@ -48,6 +51,7 @@ from tidelog.llm.tables import cut, table
 GROUPS, TIMES, SYMBOLS, SEED = 256, 2048, 512, 20
 CONTEXT, SPACING = 4, 128
 BANDS, DIGITS, NEAR = 24, 10, 0.6
+BLOCK = 1024
 CHUNK = 1 << 20
 
 
@@ -239,20 +243,74 @@ def near_pairs(rows: DataFrame, least: float = NEAR) -> DataFrame:
             keys = [(i, f"{b}:" + (all_digits[i, chosen[b]] + 1).tobytes().hex()) for i in range(len(prints)) for b in range(BANDS)]
             yield pa.RecordBatch.from_arrays([pa.array([prints[i] for i, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.string())], names=["fingerprint", "band"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    banded = rows.select("fingerprint").distinct().mapInArrow(bands, "fingerprint string, band string")
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    placed = banded.join(sizes, "band").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
+    # A part meets itself and each other part of its bucket in a block of their own.
+    met = placed.select("fingerprint", "band", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    blocks = met.select("fingerprint", "part", F.concat_ws(":", "band", F.least("part", "other"), F.greatest("part", "other")).alias("block"))
+    ordered = blocks.repartition("block").sortWithinPartitions("block")
+    return ordered.mapInArrow(comparer(least), "a string, b string, near double").distinct()
+
+
+def _block_pairs(digits: np.ndarray, part: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a block that are near: of all its pairs, or of those across its two parts."""
+    low, high = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
+    signs = np.concatenate([digits > 0, digits < 0], axis=1).astype(np.float32)
+    full = (digits != 0).astype(np.float32)
+    agree = signs[low] @ signs[high].T
+    n = full.sum(1)
+    used = n[low][:, None] + n[high] - full[low] @ full[high].T
+    da, db = n[low][:, None] / GROUPS, n[high] / GROUPS
+    either = np.maximum(da + db - da * db, 1e-6)
+    chance = da * db / 2 / either
+    i, j = np.nonzero((agree / np.maximum(used, 1) - chance) / (1 - chance) >= least - 1e-3)  # verified exactly below
+    i, j = low[i], high[j]
+    if part.min() == part.max():
+        i, j = i[i < j], j[i < j]
+    kept = likeness(digits[i], digits[j]) >= least
+    return i[kept], j[kept]
+
+
+def comparer(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Near pairs of rows (fingerprint, part, block) that come ordered by block."""
+
+    def compared_blocks(rows: pa.Table) -> pa.RecordBatch:
+        prints, part = rows.column(0).to_pylist(), rows.column(1).to_numpy()
+        names = np.array(rows.column(2).to_pylist(), dtype=object)
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(prints)), np.uint8).reshape(len(prints), -1), axis=1).astype(np.int8)
+        digits = bits[:, :GROUPS] - bits[:, GROUPS:]
+        bounds = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(prints)]
+        found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, end in zip(bounds, bounds[1:], strict=False):
+            if end - at > 1:
+                i, j = _block_pairs(digits[at:end], part[at:end], least)
+                found_i.append(i + at)
+                found_j.append(j + at)
+        i, j = np.concatenate(found_i), np.concatenate(found_j)
+        near = likeness(digits[i], digits[j])
+        pairs = [sorted((prints[x], prints[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array(near, pa.float64())], names=["a", "b", "near"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            a, b = (np.array([from_text(p) for p in batch.column(i).to_pylist()], dtype=np.int8).reshape(-1, GROUPS) for i in (0, 1))
-            near = likeness(a, b)
-            kept = np.flatnonzero(near >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), batch.column(1).take(pa.array(kept)), pa.array(near[kept], pa.float64())], names=["a", "b", "near"])
+            if not batch.num_rows:
+                continue
+            names = batch.column(2)
+            if held and held[-1].column(2)[-1] != names[0]:
+                yield compared_blocks(pa.Table.from_batches(held))
+                held = []
+            last = names.to_pylist().index(names[-1].as_py())  # the last block may go on in the next batch
+            if last:
+                yield compared_blocks(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield compared_blocks(pa.Table.from_batches(held))
 
-    banded = rows.select("fingerprint").distinct().mapInArrow(bands, "fingerprint string, band string")
-    first = banded.groupBy("band").agg(F.min("fingerprint").alias("a"))
-    starred = banded.join(first, "band").select("a", F.col("fingerprint").alias("b"))
-    # Buckets are ordered in slices by hash, so that a hot bucket is no single task's.
-    part = Window.partitionBy("band", F.pmod(F.xxhash64("fingerprint"), F.lit(64))).orderBy("fingerprint")
-    chained = banded.select(F.lag("fingerprint").over(part).alias("a"), F.col("fingerprint").alias("b"))
-    return starred.unionByName(chained).filter(F.col("a") < F.col("b")).distinct().mapInArrow(verify, "a string, b string, near double")
+    return run
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
