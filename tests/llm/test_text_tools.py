@@ -211,6 +211,28 @@ def test_best_fit_decreasing_is_no_worse_than_completion():
     assert packing.lower_bound(counts, 2048) <= done <= first
 
 
+@pytest.mark.parametrize("times", [1, 7, 1000])
+def test_bin_completion_finds_fillings_of_short_pieces(times):
+    """The filling of 1100 without waste, 500 + 448, starts with the eighth length that fits."""
+    counts = dict.fromkeys((1100, 700, 698, 690, 680, 670, 658, 500, 448), times)
+    plan = packing.bin_completion(counts, 2048)
+    assert sum(n for _, n in plan) == 3 * times
+    assert sum((Counter({k: n * c for k, c in Counter(p).items()}) for p, n in plan), Counter()) == Counter(counts)
+
+
+def test_fillings_are_all_undominated_ones():
+    rng = np.random.default_rng(7)
+    for _ in range(100):
+        counts = Counter(rng.integers(1, 20, rng.integers(1, 9)).tolist())
+        lengths, room = sorted(counts, reverse=True), int(rng.integers(1, 40))
+        found = [p for p in packing.fillings(counts, lengths, room) if p is not None]
+        assert [sum(p) for p in found] == sorted((sum(p) for p in found), reverse=True) and len(set(found)) == len(found)
+        ways = {w for n in range(sum(counts.values()) + 1) for w in itertools.combinations(sorted(counts.elements(), reverse=True), n) if sum(w) <= room}
+        assert set(found) <= ways
+        for way in ways:
+            assert any(packing.dominates(p, way) for p in found)
+
+
 def test_dominance():
     assert packing.dominates((10,), (4, 6)) and not packing.dominates((4, 6), (10,)) and packing.dominates((5, 5), (5, 4))
 

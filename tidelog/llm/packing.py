@@ -3,10 +3,10 @@
 A document's ids (with one closing id) are cut into pieces only where they are
 longer than a sequence. How many pieces have each length is a table of at most
 ``CAPACITY`` counts, whatever the size of the corpus, and packing is solved on
-that table: bin completion takes the largest remaining length, enumerates the
-undominated fillings of the room beside it, and branches on them in order of
-their waste, applying a filling to as many sequences at once as the counts
-allow. A branch is pruned once its waste exceeds what a better packing than the
+that table: bin completion takes the largest remaining length, enumerates all
+undominated fillings of the room beside it, lazily in order of their waste, and
+branches on them, applying a filling first to as many sequences at once as the
+counts allow and in the end to fewer. A branch is pruned once its waste exceeds what a better packing than the
 incumbent may waste; the first incumbent is best-fit decreasing. The search
 ends at the lower bound (all tokens over the capacity, rounded up) or after
 ``NODES`` nodes, with the best packing found.
@@ -29,6 +29,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,9 @@ from tidelog.llm.tables import cut, table
 from tidelog.llm.worker_cache import claim
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
-SLICES, NODES, FILLINGS = 64, 10_000, 400
+SLICES, NODES = 64, 10_000
+#: Fillings of a node that others are tested against, and levels of the search that keep their place in memory.
+COMPARED, LIVE = 32, 48
 CACHE_CHUNKS = 500_000
 RUN = re.compile("[^a-z0-9à-öø-ÿ ][,.] ")
 SHAPE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
@@ -219,53 +222,77 @@ def dominates(a: Pattern, b: Pattern) -> bool:
     return True
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, limit: int = FILLINGS) -> list[Pattern]:
-    """Undominated ways to fill ``room`` with remaining pieces, least waste first.
+def subset_sums(lengths: list[int], have: list[int], room: int) -> list[int]:
+    """Sums up to ``room`` of the pieces from each place of ``lengths`` on, as bits; the last is that of no piece."""
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for k, n in zip(reversed(lengths), reversed(have), strict=True):
+        sums, step = reach[-1], 1
+        while n:
+            step = min(step, n)
+            sums |= (sums << (step * k)) & mask
+            n -= step
+            step *= 2
+        reach.append(sums)
+    return reach[::-1]
+
+
+def fillings(counts: dict[int, int], lengths: list[int], room: int) -> Iterator[Pattern | None]:
+    """All undominated ways to fill ``room`` with remaining pieces, lazily, least waste first; None for each dominated one.
 
     ``lengths``: those in use, falling. A single piece that fills the room
     dominates everything else; other fillings are maximal (no remaining piece
-    fits in what they leave), and one dominated by another is left out.
+    fits in what they leave), and one found to be dominated by another is left
+    out. Subset sums of the shorter lengths, as bits of an integer, lead the
+    search, so that each of its branches ends in a filling.
     """
-    if counts.get(room, 0):
-        return [(room,)]
-    found: list[tuple[int, Pattern]] = []
-    visited = 0
-    usable = [k for k in lengths if k <= room]
-    smallest = usable[-1] if usable else room + 1
-
-    def extend(at: int, left: int, chosen: list[int]) -> bool:
-        """Depth first by falling length; True ends the search."""
-        nonlocal visited
-        visited += 1
-        if left < smallest or at == len(usable):
-            found.append((left, tuple(chosen)))
-            return left == 0 or visited >= limit
-        fits = False
-        lo, hi = at, len(usable)
-        while lo < hi:  # the first length that fits
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if usable[mid] <= left else (mid + 1, hi)
-        for i in range(lo, min(len(usable), lo + 6)):
+    if counts.get(room, 0) > 0:
+        yield (room,)
+        return
+    usable = [k for k in lengths if k <= room and counts[k] > 0]
+    have = [min(counts[k], room // k) for k in usable]
+    reach = subset_sums(usable, have, room)
+
+    def exact(at: int, left: int) -> Iterator[Pattern]:
+        """Ways to make ``left`` of the lengths from ``at`` on, longest pieces first."""
+        if not left:
+            yield ()
+            return
+        for i in range(at, len(usable)):
+            if not reach[i] >> left & 1:
+                return
             k = usable[i]
-            if counts[k] - chosen.count(k) <= 0:
-                continue
-            fits = True
-            chosen.append(k)
-            done = extend(i, left - k, chosen)
-            chosen.pop()
-            if done:
-                return True
-        if not fits:
-            found.append((left, tuple(chosen)))
-        return visited >= limit
-
-    extend(0, room, [])
-    found.sort(key=lambda x: (x[0], len(x[1])))
+            for n in range(min(have[i], left // k), 0, -1):
+                if reach[i + 1] >> (left - n * k) & 1:
+                    for rest in exact(i + 1, left - n * k):
+                        yield (k,) * n + rest
+
     kept: list[Pattern] = []
-    for _, pattern in found[:12]:
-        if not any(dominates(k, pattern) for k in kept):
-            kept.append(pattern)
-    return kept[:4] or [()]
+    forced: Pattern = ()  # pieces that would fit in the waste: all of them have to be used
+    base = 0
+    for waste in range(room + 1):
+        short = len(usable)
+        while usable and usable[-1] <= waste:
+            k = usable.pop()
+            if counts[k] * k > room:
+                return
+            forced = (k,) * counts[k] + forced
+            base += k * counts[k]
+        if len(usable) < short:  # only the lengths above the waste are free to choose from
+            del have[len(usable) :]
+            reach = subset_sums(usable, have, room)
+        left = room - waste - base
+        if left < 0:
+            return
+        if not reach[0] >> left & 1:
+            continue
+        for way in exact(0, left):
+            pattern = way + forced
+            if any(dominates(k, pattern) for k in kept):
+                yield None
+                continue
+            if len(kept) < COMPARED:  # a dominated filling that stays costs nodes only
+                kept.append(pattern)
+            yield pattern
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
@@ -281,20 +308,43 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     lengths = sorted(left, reverse=True)
     tokens, used, seen = sum(k * n for k, n in left.items()), 0, 0
     path: list[tuple[Pattern, int]] = []
-    open_: list[Iterator[Pattern]] = []
-
-    def options() -> Iterator[Pattern]:
-        largest = lengths[0]
-        left[largest] -= 1
-        ways = fillings(left, lengths, capacity - largest)
-        left[largest] += 1
-        return iter([(largest, *w) for w in ways])
-
-    def take(pattern: Pattern) -> None:
+    open_: list[list] = []  # of each level: its options, or None, and how many were used
+
+    def options() -> Iterator[tuple[Pattern, int] | None]:
+        """Fillings beside the largest piece, each as often as it goes; then, each less often."""
+        largest, usual = lengths[0], []
+        have = dict(left)
+        have[largest] -= 1
+        for way in fillings(have, lengths.copy(), capacity - largest):
+            if way is None:
+                yield None
+                continue
+            pattern = (largest, *way)
+            most = min(left[k] // m for k, m in Counter(pattern).items())
+            usual.append((pattern, most))
+            yield pattern, most
+        for pattern, most in usual:
+            for times in range(most - 1, 0, -1):
+                yield pattern, times
+
+    def following() -> tuple[bool, tuple[Pattern, int] | None]:
+        """Whether the deepest level has another option, and that option."""
+        level = open_[-1]
+        if level[0] is None:  # the counts are those of its first visit again
+            level[0] = islice(options(), level[1], None)
+        level[1] += 1
+        for option in level[0]:
+            return True, option
+        return False, None
+
+    def deepen() -> None:
+        open_.append([None, 0])
+        if len(open_) > LIVE:
+            open_[-LIVE - 1][0] = None
+
+    def take(pattern: Pattern, times: int) -> None:
         nonlocal tokens, used
-        need = Counter(pattern)
-        times = min(left[k] // m for k, m in need.items())
-        for k, m in need.items():
+        for k, m in Counter(pattern).items():
             left[k] -= m * times
             if not left[k]:
                 lengths.remove(k)
@@ -313,16 +363,18 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         tokens += times * sum(pattern)
         used -= times
 
-    open_.append(options())
+    deepen()
     while open_ and seen < nodes:
-        pattern = next(open_[-1], None)
-        if pattern is None:
+        more, option = following()
+        if not more:
             open_.pop()
             if path:
                 undo()
             continue
         seen += 1
-        take(pattern)
+        if option is None:
+            continue
+        take(*option)
         if not lengths:
             if used < best_n:
                 best, best_n = list(path), used
@@ -332,7 +384,7 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         elif used + -(-tokens // capacity) >= best_n:  # the waste so far rules out an improvement
             undo()
         else:
-            open_.append(options())
+            deepen()
     return best
 
 
