@@ -319,6 +319,15 @@ def test_html_cases(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("sizes", [(9, 2), (2, 9), (9, 1, 1), (20, 1)])
+def test_html_articles_over_siblings(sizes):
+    """All parts of an article without <article> stay, however little of it they hold."""
+    parts = [[f"Paragraph {i} of part {k}, a sentence long enough to be dense text of the article itself." for i in range(n)] for k, n in enumerate(sizes)]
+    body = "".join("<div class=part>" + "".join(f"<p>{t}</p>" for t in part) + "</div>" for part in parts)
+    page = BOX.format(f"<div class=post>{body}</div><div class=sidebar>s</div>")
+    assert html_text.main_text(page) == " ".join(itertools.chain(*parts))
+
+
 def test_html_operator(spark):
     pages = spark.createDataFrame([(1, None, "keep"), (2, "<p>x", None)], "page_id long, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in html_text.extract(pages).collect()) == [(1, ""), (2, "x")]

@@ -7,7 +7,7 @@ footers, sidebars, forms, scripts, adverts, notices, comments, told by tag, role
 or class) are set aside. Of the others the ratio of text to tags is smoothed
 with a Gaussian along the page and thresholded at its standard deviation, which
 gives clusters of dense lines; the content region is the articles that hold
-dense lines, or else the innermost element that holds nearly all of them. A
+dense lines, or else the innermost element that holds all of them. A
 region is taken whole, so that short paragraphs between long ones stay; outside
 of articles, lines that are mostly link text and not dense are left out.
 
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tidelog.llm.arrow_columns import with_python_columns
 from tidelog.llm.tables import table
 
-SIGMA, REACH, SHARE = 1.0, 3, 0.8
+SIGMA, REACH = 1.0, 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
@@ -173,13 +173,13 @@ def main_text(html: str | None) -> str:
     in_articles = sum(m for line, m in zip(lines, mass, strict=True) if line[4] >= 0)
     if articles and 2 * in_articles >= mass.sum():
         return " ".join(line[0] for line in lines if line[4] in articles)
-    held: dict[int, float] = {}  # dense text in each container and all within it
+    held: dict[int, int] = {}  # dense text in each container and all within it
     for line, m in zip(lines, mass, strict=True):
         at = line[3]
         while at >= 0:
             held[at] = held.get(at, 0) + m
             at = parser.parents[at]
-    region = max((c for c, m in held.items() if m >= SHARE * mass.sum()), default=0)  # inner containers come later
+    region = max((c for c, m in held.items() if m >= mass.sum()), default=0)  # inner containers come later
 
     def inside(at: int) -> bool:
         while at > region:
