@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.delta import ROW
 from tidelog.operators import checkpoint, journal, metrics, ordering, routing, sessions, transactions, views
+from tidelog.plans import catalogue
 
 SCHEMA = f"tenant string, seq long, tag string, xid long, begin_lsn long, commit_lsn long, end_lsn long, commit_ts timestamp, schema_name string, table_name string, old {ROW}, new {ROW}, old_kind string"
 WHEN = dt.datetime(2024, 1, 1)
@@ -141,3 +142,32 @@ def test_reconstruct(spark):
     rows = [("t", "a", 1, "I", '{"id":1,"v":"x","w":"k"}', WHEN), ("t", "a", 2, "U", '{"id":1,"v":"y"}', WHEN), ("t", "a", 3, "I", '{"id":2,"v":"z"}', WHEN), ("t", "a", 4, "D", '{"id":2,"v":"z"}', WHEN)]
     state = journal.reconstruct(spark.createDataFrame(rows, "tenant string, table_name string, event_seq long, Operation string, Data string, CommittedAt timestamp"), "id").collect()
     assert [(r["id"], r["state"]) for r in state] == [("1", {"id": "1", "v": "y", "w": "k"})]
+
+
+def test_states_of_all_orders(spark, sf_dir):
+    """Ordinary updates, whose deltas lack the key, count: every live order, with the status of its last change."""
+    found = sorted((int(r["o_orderkey"]), r["status"], r["price"]) for r in catalogue.order_states(spark, sf_dir).collect())
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS k", "o_orderstatus AS s", "CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS STRING) AS p").collect()
+    assert found == sorted((r["k"], "X" if r["k"] % 3 == 0 else r["s"], r["p"]) for r in orders if r["k"] % 10)
+
+
+def test_reconstruct_changes(spark):
+    cell = lambda name, text, unchanged=False: (name, 25, text is None and not unchanged, text, unchanged, name == "id")
+    row = lambda i, v, w="k": [cell("id", i), cell("v", v), cell("w", w)]
+    unsent = [cell("id", "7"), cell("v", "z"), cell("w", None, True)]
+    rows = [
+        (1, "I", None, row("1", "x"), None), (2, "U", None, [cell("id", "1"), cell("v", None), cell("w", None, True)], None),
+        (3, "I", None, row("2", "x"), None), (4, "D", row("2", "x"), None, "O"), (5, "I", None, row("3", "x", "old"), None), (6, "U", row("3", "x", "old"), unsent, "O"),
+        (7, "D", [cell("id", "1")], None, "K"), (8, "I", None, [cell("id", "1"), cell("v", "again")], None), (9, "I", None, row("4", "x"), None), (10, "U", [cell("id", "4")], row("2", "y"), "K"),
+    ]
+    changes = spark.createDataFrame([("t", "s", "a", *r) for r in rows], f"tenant string, schema_name string, table_name string, seq long, tag string, old {ROW}, new {ROW}, old_kind string")
+    found = {r["id"]: r["state"] for r in journal.reconstruct_changes(changes, "id").collect()}
+    assert found == {"1": {"id": "1", "v": "again"}, "7": {"id": "7", "v": "z", "w": "old"}, "2": {"id": "2", "v": "y", "w": "k"}}
+    first = {r["id"]: r["state"] for r in journal.reconstruct_changes(changes.filter("seq < 4"), "id").collect()}
+    assert first["1"] == {"id": "1", "v": None, "w": "k"}
+
+
+def test_reconstruct_without_keys_is_an_error(spark):
+    rows = [("t", "a", 1, "I", '{"id":1,"v":"x"}', WHEN), ("t", "a", 2, "U", '{"v":"y"}', WHEN)]
+    with pytest.raises(Exception, match="no id in the delta of change 2"):
+        journal.reconstruct(spark.createDataFrame(rows, "tenant string, table_name string, event_seq long, Operation string, Data string, CommittedAt timestamp"), "id").collect()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.config import quoted
-from tidelog.functions.delta import delta_json
+from tidelog.functions.delta import ROW, delta_json
 from tidelog.functions.lsn import format_lsn
 from tidelog.operators.ordering import BUCKET, sequence_number
 
@@ -60,12 +60,51 @@ def reconstruct(journal: DataFrame, key: str, upto=None) -> DataFrame:
     """Last known row state of every key as a map of column to JSON text (an extension: the journal replayed).
 
     ``key`` is a JSON field present in every delta of the table; deleted rows
-    are left out.
+    are left out. A delta without it is an error: as the delta of an update has
+    only what changed, the key is in it only where the writer adds it (see
+    ``reconstruct_changes``).
     """
     rows = journal if upto is None else journal.filter(F.col("CommittedAt") <= upto)
-    parsed = rows.withColumns({"_key": F.get_json_object("Data", f"$.{key}"), "_map": F.from_json("Data", "map<string,string>")})
+    rows = rows.filter(F.col("Data").isNotNull())  # an update that changed nothing
+    found = F.get_json_object("Data", f"$.{key}")
+    known = F.coalesce(found, F.raise_error(F.concat(F.lit(f"no {key} in the delta of change "), F.col("event_seq").cast("string"))).cast("string"))
+    parsed = rows.withColumns({"_key": known, "_map": F.from_json("Data", "map<string,string>")})
     fields = parsed.select("tenant", "table_name", "_key", "event_seq", "Operation", F.explode_outer("_map").alias("field", "value"))
     latest = fields.groupBy("tenant", "table_name", "_key", "field").agg(F.max_by("value", "event_seq").alias("value"))
     state = latest.groupBy("tenant", "table_name", "_key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("state"))
     last = parsed.groupBy("tenant", "table_name", "_key").agg(F.max_by("Operation", "event_seq").alias("_last"))
     return state.join(last, ["tenant", "table_name", "_key"]).filter(F.col("_last") != "D").drop("_last").withColumnRenamed("_key", key)
+
+
+def reconstruct_changes(changes: DataFrame, key: str, upto=None) -> DataFrame:
+    """Last known row state of every key as a map of column to text, from the images of committed changes.
+
+    For changes as ``journal_rows`` takes them, whose deltas do not name the row
+    they change. ``key`` is the column that identifies a row of the table. An
+    update of the key ends the row of the old key; values that were not sent are
+    the old image's, or else the last known ones of the same key (where a key
+    changes and the old image is the key only, they are unknown and left out).
+    """
+    rows = changes if upto is None else changes.filter(F.col("commit_ts") <= upto)
+    none = F.array().cast(ROW)
+    of = lambda image: F.get(F.filter(F.coalesce(image, none), lambda c: (c["name"] == key) & ~c["unchanged"]), 0)["text"]
+    sent = F.filter(F.coalesce("new", none), lambda c: ~c["unchanged"])
+    unsent = F.transform(F.filter(F.coalesce("new", none), lambda c: c["unchanged"]), lambda c: c["name"])
+    full = F.col("old_kind") == "O" if "old_kind" in changes.columns else F.lit(False)
+    kept = F.when(full, F.filter(F.coalesce("old", none), lambda c: ~c["unchanged"] & F.array_contains(unsent, c["name"]))).otherwise(none)
+    at = ["tenant", "schema_name", "table_name"]
+    seen = rows.select(*at, "seq", "tag", of(F.col("old")).alias("_old"), F.coalesce(of(F.col("new")), of(F.col("old"))).alias("_new"), F.concat(sent, kept).alias("_cells"))
+    ends = (F.col("tag") == "D") | (F.col("tag").eqNullSafe("U") & F.col("_old").isNotNull() & (F.col("_old") != F.col("_new")))
+    moved = F.col("tag") == "U"
+    # The last moment at which a key's row ended or began; what was known before does not count.
+    gone = seen.filter(ends).select(*at, F.col("_old").alias("_key"), "seq", F.lit(True).alias("_gone"), none.alias("_cells"))
+    fresh = F.when((F.col("tag") == "I") | (moved & ends), False)
+    there = seen.filter(F.col("tag").isin("I", "U")).select(*at, F.col("_new").alias("_key"), "seq", fresh.alias("_gone"), "_cells")
+    events = gone.unionByName(there)
+    edges = events.filter(F.col("_gone").isNotNull()).groupBy(*at, "_key").agg(F.max("seq").alias("_edge"), F.max_by("_gone", "seq").alias("_gone"))
+    fields = events.select(*at, "_key", "seq", F.explode("_cells").alias("cell"))
+    since = fields.join(edges, [*at, "_key"], "left").filter(F.col("_edge").isNull() | (F.col("seq") > F.col("_edge")) | ((F.col("seq") == F.col("_edge")) & ~F.col("_gone")))
+    value = F.struct(F.col("cell")["name"].alias("field"), F.when(~F.col("cell")["is_null"], F.col("cell")["text"]).alias("value"))
+    latest = since.select(*at, "_key", "seq", value.alias("v")).groupBy(*at, "_key", F.col("v")["field"].alias("field")).agg(F.max_by("v", "seq")["value"].alias("value"))
+    state = latest.groupBy(*at, "_key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("state"))
+    return state.withColumnRenamed("_key", key)
