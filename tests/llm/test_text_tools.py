@@ -328,6 +328,27 @@ def test_html_articles_over_siblings(sizes):
     assert html_text.main_text(page) == " ".join(itertools.chain(*parts))
 
 
+LONG = "A sentence that is long enough to be dense text of the article itself."
+
+
+@pytest.mark.parametrize("element", ["section id=discussion", "section id='related-work'", "h2 id='promotion-and-relegation'", "div class=response", "div id=ad-hoc-methods", "p class='menu-prices'"])
+def test_html_article_keeps_its_sections(element):
+    tag = element.split()[0]
+    assert html_text.main_text(BOX.format(f"<article><p>{LONG}</p><{element}>{LONG}</{tag}></article>")) == f"{LONG} {LONG}"
+
+
+@pytest.mark.parametrize("element", ["section id=comments", "div class='ad'", "div class='post ad-slot'", "section class=ad", "div id=disqus_thread", "div class='comment-list'", "ul class='share-buttons'", "div class=sidebar"])
+def test_html_article_drops_adverts_and_comments(element):
+    tag = element.split()[0]
+    assert html_text.main_text(BOX.format(f"<article><p>{LONG}</p><{element}>{LONG}</{tag}></article>")) == LONG
+
+
+@pytest.mark.parametrize("element", ["section id=discussion", "h2 id='related-work'"])
+def test_html_titles_outside_articles(element):
+    tag = element.split()[0]
+    assert html_text.main_text(BOX.format(f"<div><p>{LONG}</p><{element}>{LONG}</{tag}></div>")) == f"{LONG} {LONG}"
+
+
 def test_html_operator(spark):
     pages = spark.createDataFrame([(1, None, "keep"), (2, "<p>x", None)], "page_id long, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in html_text.extract(pages).collect()) == [(1, ""), (2, "x")]

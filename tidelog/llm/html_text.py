@@ -47,6 +47,18 @@ DROPPED_WORDS = frozenset(
     "widget widgets".split()
 )
 COMMENT_WORDS = frozenset("comment comments reply replies response responses related teaser promo sponsored ad advert".split())
+#: Whole names of classes and ids that mark such an element inside an article too, where single words are often those of its subject.
+OWN_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising breadcrumb breadcrumbs disqus modal nav navbar navigation newsletter overlay pager pagination popup promo "
+    "share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget widgets".split()
+)
+#: Adverts and comments by the usual names of their elements.
+OWN_PATTERN = re.compile(
+    r"(ads?|adv|adverts?|advertisements?|sponsor(ed)?)[-_]?(area|banner|block|box|container|content|label|placeholder|slot|space|unit|wrapper)|adsbygoogle|disqus[-_]thread"
+    r"|comments?([-_]?(area|body|box|container|content|form|list|respond|reply|section|thread|wrapper))?|(newsletter|share|sharing|social)[-_](bar|box|buttons?|form|icons?|links?|signup)"
+)
+#: Elements whose ids are made of their headings.
+TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 #: Words before a marking word that make it say something about the page's layout only.
 LAYOUT_WORDS = frozenset("has with no without".split())
 CONTAINERS = frozenset("html body article main section div td blockquote center".split())
@@ -66,6 +78,17 @@ def _marks(value: str) -> set[str]:
     return found
 
 
+def _marked(tag: str, classes: str, name: str, in_article: bool) -> bool:
+    """Whether the class or id (``name``) says that an element is not the article's."""
+    titled = tag in TITLED
+    if in_article:
+        own = lambda w: w in OWN_NAMES or OWN_PATTERN.fullmatch(w)
+        return any(map(own, classes.lower().split())) or any(map(OWN_PATTERN.fullmatch if titled else own, name.lower().split()))
+    if titled:
+        return bool(_marks(classes) & DROPPED_WORDS) or any(map(OWN_PATTERN.fullmatch, name.lower().split()))
+    return bool(_marks(f"{classes} {name}") & DROPPED_WORDS)
+
+
 class LineParser(HTMLParser):
     """Collects lines: (text, tags before it, characters in links, container, article)."""
 
@@ -113,13 +136,13 @@ class LineParser(HTMLParser):
         given = {k: v or "" for k, v in attrs}
         if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
             return True
-        marks = _marks(f"{given.get('class', '')} {given.get('id', '')}")
+        classes, name = given.get("class", ""), given.get("id", "")
         if tag in ARTICLES:
             # An article inside an element dropped by its class only is an article still.
-            return bool(marks & COMMENT_WORDS) or self.dropped and any(t in DROPPED for t, *_ in self.stack)
+            return bool(_marks(classes) & COMMENT_WORDS) or self.dropped and any(t in DROPPED for t, *_ in self.stack)
         if tag in ("html", "body"):
             return self.dropped
-        return self.dropped or bool(marks & DROPPED_WORDS) or given.get("role", "").lower() in DROPPED_ROLES
+        return self.dropped or _marked(tag, classes, name, self.article >= 0) or given.get("role", "").lower() in DROPPED_ROLES
 
     def leave(self, tag: str, barrier: frozenset[str] = frozenset()) -> None:
         """Close the innermost open ``tag`` and all within it."""
