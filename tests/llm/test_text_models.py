@@ -93,3 +93,12 @@ def test_toxicity_learns_ratios():
 def test_toxicity_one_class():
     assert tox.scorer(tox.train(["a"], [0], (1.0, 0.0)))(pa.array(["x"]))[1].to_pylist() == [0]
     assert tox.scorer(tox.train([], [], (1.0, 0.0)))(pa.array(["x"]))[1].to_pylist() == [0]
+
+
+def test_toxicity_of_a_class_of_long_texts(spark, monkeypatch):
+    """A class whose labelled texts are all long is learned from all the same."""
+    monkeypatch.setattr(tox, "SAMPLE_CHARS", 100)
+    rows = [(i, "you idiot fool " * 20 if i % 2 else "a fine day on the mat", i % 2) for i in range(80)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = tox.fit(docs, labels)
+    assert tox.scorer(model)(pa.array(["idiot", "the day"]))[1].to_pylist() == [1, 0]

@@ -6,8 +6,9 @@ log-count ratio between the two classes, and a logistic regression is fitted on
 the scaled features (the ratios are thus the prior belief about their weights).
 
 Training: at most ``SAMPLE_DOCS`` labelled documents of each class, chosen by a
-hash of the id, among them only those of at most ``SAMPLE_CHARS`` characters;
-the classes are weighted back to their share of all labels. N-grams found in
+hash of the id among those of at most ``SAMPLE_CHARS`` characters; a class that
+is short of such documents takes its longer ones too, shortest first, up to
+``SAMPLE_DOCS`` times ``SAMPLE_CHARS`` characters in all. The classes are weighted back to their share of all labels. N-grams found in
 fewer than ``MIN_DOCS`` sampled documents, or with a ratio near 0, are left
 out. Scoring covers every word of every text.
 
@@ -149,13 +150,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> T
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     total = sum(sizes.values())
     shares = (sizes.get(0, 0) / total, sizes.get(1, 0) / total) if total else (1.0, 0.0)
-    picked = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for c in sorted(sizes)]
-    if not picked:
-        return train([], [], shares)
-    chosen = picked[0] if len(picked) == 1 else picked[0].unionByName(picked[1])
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    lengths = docs.select("doc_id", F.length(text).alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
+    labelled = known.join(lengths, "doc_id")
+    longer = F.when(F.col("n") > SAMPLE_CHARS, F.col("n")).otherwise(0)
+    chosen = []
+    for c in sorted(sizes):
+        total_chars = 0
+        for r in labelled.filter(F.col("toxic") == c).orderBy(longer, F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect():
+            total_chars += r["n"]
+            if r["n"] > SAMPLE_CHARS and total_chars > sample_docs * SAMPLE_CHARS:
+                break
+            chosen.append((r["doc_id"], r["toxic"]))
+    if not chosen:
+        return train([], [], shares)
     # At most two times SAMPLE_DOCS ids: small enough to broadcast at any size of the input.
-    sample = docs.select("doc_id", text).filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
+    picked = docs.sparkSession.createDataFrame(chosen, known.schema)
+    sample = docs.select("doc_id", text).join(F.broadcast(picked), "doc_id")
     rows = sample.select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], shares)
