@@ -14,11 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """Use the cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set and all runs on one machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(folder or f"/tmp/checkpoints/{uuid.uuid4().hex}")
 
 
 def release(session: SparkSession) -> None:
