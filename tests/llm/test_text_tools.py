@@ -254,7 +254,6 @@ def test_packing_query(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public.path(packing.VOCABULARY))
-    tokenizer.encode_special_tokens = True
     rows = packing.op6_packing(spark, BIG).collect()
     sequences = check_places(rows)
     total = sum(r["length"] for r in rows)
@@ -276,6 +275,9 @@ def test_packing_edges(spark):
     check_places(rows)
     assert sorted((r["length"] for r in rows if r["doc_id"] in (1, 2))) == [1, 1, 1] and len([r for r in rows if r["doc_id"] is None]) == 3
     assert packing.pack_documents(docs.limit(0)).count() == 0
+    odd = docs.selectExpr("doc_id", "text", "'x' AS slice", "1 AS number", "2 AS offset")
+    lengths = packing.pieces(odd).selectExpr("*", "'x' AS slice", "1 AS number", "2 AS offset")
+    assert packing.pack(lengths).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "slice", "number", "sequence_id", "offset"] and len(check_places(packing.pack(lengths).collect()) and rows) == len(rows)
     kept = packing.pieces(docs.filter("doc_id = 3"), keep_ids=True).first()
     assert kept["ids"][-1] == 0 and len(kept["ids"]) == kept["length"]
 
@@ -285,8 +287,7 @@ def test_chunk_tokenizer_small_cache(monkeypatch):
 
     monkeypatch.setattr(packing, "CACHE_CHUNKS", 4)
     own, tokenizer = packing.ChunkTokenizer(public.path(packing.VOCABULARY)), Tokenizer.from_file(public.path(packing.VOCABULARY))
-    tokenizer.encode_special_tokens = True
-    for text in ["The cat, the dog; THE end.", "éclair Über straße, déjà!", "a's don't 12ab ab12 x́", "", "  "]:
+    for text in ["The cat, the dog; THE end.", "éclair Über straße, déjà!", "a's don't 12ab ab12 x́", "", "  ", "End.<|endoftext|>Start <|startoftext|>, <|ENDOFTEXT|> ok", "<|endoftext|>", "日本 <|endoftext|>é", "The cat"]:
         assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 

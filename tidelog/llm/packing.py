@@ -16,8 +16,15 @@ of ranks of each of its lengths, which gives a piece its sequence and its place.
 Ranks are counted within ``SLICES`` hash slices of a length, with offsets, as a
 single length may hold any share of the pieces.
 
+A text's ids are the library's with its defaults: the vocabulary's special
+tokens (``<|endoftext|>``) are one id each where a text spells them.
+
 Defined results: a null or empty text is the closing id alone. Rows of equal or
-null ids are packed like any others. An empty table gives an empty result.
+null ids are packed like any others. Which of equally long pieces go into which
+sequence is decided by hash slice, id, piece and content; pieces alike in all of
+these may change places. Texts of any length are encoded whole. An empty table
+gives an empty result. Columns of the pieces may have any names; sequence_id and
+offset replace columns of these names.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.arrow_columns import slices
-from tidelog.llm.tables import cut, table
+from tidelog.llm.tables import cut, fresh, table
 from tidelog.llm.worker_cache import claim
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
@@ -84,8 +91,12 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Special tokens are cut out of the raw text; what is left has none, also where lowering would make it look so.
         self.tokenizer.encode_special_tokens = True
-        self.chunks: dict[str, bytes] = {}
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.marks = {f" {t}": np.array([i], dtype="<u4").tobytes() for t, i in added.items()}  # no chunk has a space
+        self.chunks: dict[str, bytes] = dict(self.marks)
         # For lower-case Latin words, on which the steps before the model only cost time.
         plain = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
         plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, plain["pre_tokenizer"]["pretokenizers"][-1]]}
@@ -94,6 +105,12 @@ class ChunkTokenizer:
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    def split(self, text: str) -> list[str]:
+        """Chunks of ``text``, special tokens with a space before them."""
+        if self.special is None or not self.special.search(text):
+            return chunks_of(text)
+        return [c for i, part in enumerate(self.special.split(text)) for c in ([f" {part}"] if i % 2 else chunks_of(part))]
+
     def learn(self, new: set[str]) -> None:
         """Add chunks to the cache."""
         shapes = [(c, m[1].lower(), m[2]) for c in new if (m := SHAPE.fullmatch(c))]
@@ -119,7 +136,8 @@ class ChunkTokenizer:
         """Little-endian 32-bit ids of each text."""
         if len(self.chunks) > CACHE_CHUNKS:
             self.chunks.clear()
-        split = [chunks_of(t) if t else [] for t in texts]
+            self.chunks.update(self.marks)
+        split = [self.split(t) if t else [] for t in texts]
         new = set().union(*[set(chunks).difference(self.chunks) for chunks in split])
         if new:
             self.learn(new)
@@ -424,12 +442,13 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut_pieces`` (at least doc_id, piece, length) plus sequence_id and offset."""
     columns = [c for c in cut_pieces.columns if c not in ("sequence_id", "offset")]
     ties = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in columns]
-    sliced = cut_pieces.select(*columns, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int").alias("_slice"))
+    slice_, number_ = fresh([*columns, "sequence_id", "offset"], "slice", "number")
+    sliced = cut_pieces.select(*columns, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int").alias(slice_))
     # At most CAPACITY x SLICES counts reach the driver, at any size of the input.
-    counted = sliced.groupBy("length", "_slice").agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = sliced.groupBy("length", slice_).agg(F.count(F.lit(1)).alias("n")).collect()
     table_ = np.zeros((capacity + 1, SLICES), dtype=np.int64)
     for row in counted:
-        table_[row["length"], row["_slice"]] = row["n"]
+        table_[row["length"], row[slice_]] = row["n"]
     totals = table_.sum(1)
     by = ranges(bin_completion({k: int(n) for k, n in enumerate(totals) if n}, capacity))
     before = np.cumsum(table_, 1) - table_
@@ -438,12 +457,12 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = placer(*shared.value, capacity)
         for batch in batches:
-            length, part, number = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_slice", "_number"))
+            length, part, number = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", slice_, number_))
             sequence, offset = place(length, part, number)
             kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c in columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
-    numbered = sliced.withColumn("_number", F.row_number().over(Window.partitionBy("length", "_slice").orderBy(*ties)))
+    numbered = sliced.withColumn(number_, F.row_number().over(Window.partitionBy("length", slice_).orderBy(*ties)))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.select(*columns).schema)
     return numbered.mapInArrow(run, f"{types}, sequence_id long, offset long")
 
