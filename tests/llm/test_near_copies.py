@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from tidelog.llm import components, language_id, ngram_join, packing, toxicity
+from tidelog.llm import components, language_id, ngram_join, packing, tables, toxicity
 from tidelog.llm.tables import table
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -65,11 +65,12 @@ def families(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("seed", "few", "rounds", "members"), [(1, 50, 4, 1024), (2, 10**9, 1, 1024), (3, 0, 1, 7), (4, 10**9, 2, 16)])
-def test_components_of_families(spark, monkeypatch, seed, few, rounds, members):
+@pytest.mark.parametrize(("seed", "few", "direct", "members", "hot"), [(1, 50, 4, 1024, 500), (2, 10**9, 10**9, 1024, 3), (3, 0, -1, 7, 3), (4, 10**9, -1, 16, 10**6)])
+def test_components_of_families(spark, monkeypatch, seed, few, direct, members, hot):
     """Whatever the pivot rounds leave over is settled exactly, in blocks of any size."""
     monkeypatch.setattr(ngram_join, "FEW", few)
-    monkeypatch.setattr(ngram_join, "MOST_ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "DIRECT", direct)
+    monkeypatch.setattr(tables, "HOT_SHARE", hot)
     monkeypatch.setattr(ngram_join, "MEMBERS", members)
     monkeypatch.setattr(ngram_join, "OUTSIDE", max(2, members // 4))
     rows = families(seed)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.tables import cut, packed
+from tidelog.llm.tables import cut_with, packed
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,18 +27,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+def _cut(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` cut, and their number and checksum."""
+    done, seen = cut_with(edges, n=F.count(F.lit(1)), x=F.bit_xor(F.xxhash64("u", "v")))
+    return packed(done, seen["n"]), (seen["n"], seen["x"])
 
 
 def stars(edges: DataFrame) -> DataFrame:
     """(u, v): every node u of ``edges`` (u, v) that is not the smallest of its component, with that smallest node v."""
-    now = cut(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct())
-    mark = _mark(now)
+    now, mark = _cut(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct())
     while mark[0]:
-        now = cut(_small_star(_large_star(packed(now, mark[0]))))
-        before, mark = mark, _mark(now)
+        before = mark
+        now, mark = _cut(_small_star(_large_star(now)))
         if mark == before:
             break
     return now

@@ -15,11 +15,11 @@ overlap of at least PERCENT % of a set of n needs a shared n-gram among the
 first n - ceil(PERCENT * n / 100) + 1 in that order, its prefix.
 
 Documents that share a prefix n-gram form its list. A pair's overlap is counted
-in each of ``CUTS`` vertical fragments of the two sets separately and summed per
-pair. Lists are not expanded into all pairs: first every document of a list is
-compared to one pivot, and the links found contract the documents into
-components. Rounds with other pivots go on while many documents are outside
-their lists' main components. What is left is settled exactly: lists that still
+in each of ``CUTS`` vertical fragments of the two sets (ranges of the global
+order) separately and summed per pair. Lists are not expanded into all pairs:
+first every document of a list is compared to one pivot, and the links found
+contract the documents into components. Rounds with other pivots go on while
+each at least halves the pairs left. What is left is settled exactly: lists that still
 mix components are gathered into families, and every document outside its
 family's main component is counted against every member of the family, in
 blocks of bounded size that hand back links only. So no link between
@@ -29,8 +29,9 @@ Defined results: words are runs of other characters than space and U+0009 to
 U+000D, and A-Z are lower-cased. A text of fewer words than a shingle is one
 shingle. Null, empty and white-space texts have an empty set, link with nothing
 and are components of their own. Equal word sequences link whatever their
-number. Rows of equal ids are separate rows of one document. An empty table
-gives an empty result. Sets are compared by 64-bit hashes of their n-grams.
+number. Rows of equal ids are separate rows of one document; ids are read as
+64-bit integers. An empty table gives an empty result. Sets are compared by
+64-bit hashes of their n-grams.
 """
 
 from __future__ import annotations
@@ -47,13 +48,15 @@ from pyspark.sql import functions as F
 from tidelog.llm.arrow_columns import slices
 from tidelog.llm.components import stars
 from tidelog.llm.exact_dedup import filter_bits, probe, repeat_filter
-from tidelog.llm.tables import cut, fresh, packed, table
+from tidelog.llm.tables import cut, cut_with, fresh, join_groups, packed, table
 from tidelog.llm.worker_cache import claim
 
-SHINGLE, PERCENT, CUTS = 5, 75, 4
+SHINGLE, PERCENT = 5, 75
+#: Vertical fragments in which overlaps are counted: ranges of the order, told by the upper bits.
+CUTS, CUT_SHIFT = 4, 62
 BATCH_BYTES, FRAGMENT_BYTES, LEAST_FRAGMENTS = 4 << 20, 8 << 20, 24
-#: Pivot rounds go on while the pairs left outnumber the rows of the lists this many times.
-FEW, MOST_ROUNDS = 50, 4
+#: Pivot rounds end once the lists hold this many pairs a row at most; at the other, these are compared one by one.
+FEW, DIRECT = 50, 4
 SETS_PER_TASK = 2000
 #: Documents outside and members in a block.
 OUTSIDE, MEMBERS = 256, 1024
@@ -231,67 +234,79 @@ def _fits() -> F.Column:
     return (F.least("sa", "sb") >= least) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` that link, by overlaps counted in vertical fragments and summed."""
+def links(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """Those of the ``n`` pairs (a, b) that link, by overlaps counted in each fragment of the order apart and summed."""
     keys = pairs.select(F.col("a").alias("word")).unionByName(pairs.select(F.col("b").alias("word"))).distinct()
-    bits = filter_bits(2 * pairs.count())
+    bits = filter_bits(2 * n)
     needed = probe(sets, repeat_filter(keys, bits), F.col("key"), bits, "_needed").filter("_needed")  # the others stay where they are
-    part = lambda k: F.struct(F.lit(k).alias("cut"), F.filter("shared", lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(CUTS - 1) == k).alias("grams"))
-    parted = needed.select("key", F.inline(F.array(*[part(k) for k in range(CUTS)])))
-    with_b = pairs.select("a", "b", "na", "nb").join(parted.select(F.col("key").alias("b"), "cut", F.col("grams").alias("of_b")), "b")
-    both = with_b.join(parted.select(F.col("key").alias("a"), "cut", F.col("grams").alias("of_a")), ["a", "cut"])
-    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("of_a", "of_b")).alias("overlap"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+    with_b = pairs.select("a", "b", "na", "nb").join(needed.select(F.col("key").alias("b"), F.col("shared").alias("of_b")), "b")
+    both = with_b.join(needed.select(F.col("key").alias("a"), F.col("shared").alias("of_a")), "a")
+    part = lambda c, k: F.filter(c, lambda h: F.shiftrightunsigned(h, CUT_SHIFT) == k)
+    overlap = sum((F.size(F.array_intersect(part("of_a", k), part("of_b", k))) for k in range(1, CUTS)), F.size(F.array_intersect(part("of_a", 0), part("of_b", 0))))
+    total = both.select("a", "b", "na", "nb", overlap.alias("overlap"))
     return total.filter(100 * F.col("overlap") >= PERCENT * (F.col("na") + F.col("nb") - F.col("overlap"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _labelled(lists: DataFrame, found: DataFrame | None) -> DataFrame:
-    """``lists`` with each document's component so far, without the lists within one component."""
-    if found is None:
-        return lists.withColumn("label", F.col("key"))
-    named = lists.join(found.select(F.col("u").alias("key"), F.col("v").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") != F.col("high")).select("gram")
-    return named.join(mixed, "gram")
-
+def _grouped(lists: DataFrame, turn: int) -> tuple[DataFrame, int, int]:
+    """``lists`` (gram, key, n, s, label) without those within one component, each row with its list's ``pivot`` of this turn and main component.
 
-def _pivots(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs of every document of a list and the list's pivot of this turn."""
-    pivot = lists.groupBy("gram").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("rank"), "key", "n", "s", "label")).alias("p"))
-    pairs = lists.join(pivot, "gram").filter(F.col("label") != F.col("p.label"))
-    return pairs.select(F.col("p.key").alias("a"), F.col("key").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.s").alias("sa"), F.col("s").alias("sb")).filter(_fits()).distinct()
+    Also the pairs that all lists hold at most, but for those of a list's main component, and the rows of the lists.
+    """
+    pivot = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("rank"), "key", "n", "s", "label")).alias("pivot")
+    by_label = lists.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"), pivot)
+    by_gram = by_label.groupBy("gram").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("most"), F.min("pivot").alias("pivot"))
+    mixed = by_gram.select("gram", "all", F.col("most.label").alias("main"), (F.col("all") - F.col("most.c")).alias("out"), "pivot").filter(F.col("out") > 0)
+    groups, seen = cut_with(mixed, pairs=F.sum(F.col("out") * F.col("all").cast("double")), rows=F.sum("all"), n=F.count(F.lit(1)))
+    rows = seen["rows"] or 0
+    if not rows:
+        return lists, 0, 0
+    joined = cut(join_groups(lists, packed(groups, seen["n"]), "gram", "all", rows).drop("all", "out"))
+    return packed(joined, rows), int(seen["pairs"]), rows
+
+
+def _pivots(lists: DataFrame) -> DataFrame:
+    """Pairs of every document of a list and the list's pivot."""
+    pairs = lists.filter(F.col("label") != F.col("pivot.label"))
+    return pairs.select(
+        F.col("pivot.key").alias("a"), F.col("key").alias("b"), F.col("pivot.n").alias("na"), F.col("n").alias("nb"), F.col("pivot.s").alias("sa"), F.col("s").alias("sb")
+    ).filter(_fits()).distinct()
 
 
 def block_links(rows: pa.Table) -> pa.Table:
-    """Links of a block between its documents outside the main component and its members, of different components."""
+    """Links of a block between its documents outside the main component and its members, of different components.
+
+    Overlaps are counted in each fragment of the order apart and summed.
+    """
     outside = np.array(rows.column("outside").to_pylist(), dtype=bool)
     keys, n, labels = (rows.column(c).to_numpy() for c in ("key", "n", "label"))
     sets = rows.column("shared").combine_chunks()
-    values, bounds = sets.values.to_numpy(), sets.offsets.to_numpy()
-    members = np.flatnonzero(~outside)
+    values, bounds = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
+    members, others = np.flatnonzero(~outside), np.flatnonzero(outside)
     size = np.diff(bounds)[members]
     grams = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in members]) if len(members) else values[:0]
     owner = np.repeat(np.arange(len(members), dtype=np.int32), size)
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
-    found_u, found_v = [], []
-    for i in np.flatnonzero(outside):
-        own = np.sort(values[bounds[i] : bounds[i + 1]])
-        low, high = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
-        width = high - low
-        hits = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
-        overlap = np.bincount(owner[hits], minlength=len(members))
-        linked = (100 * overlap >= PERCENT * (n[i] + n[members] - overlap)) & (labels[members] != labels[i])
-        found_u.append(np.full(linked.sum(), keys[i]))
-        found_v.append(keys[members][linked])
-    empty = np.zeros(0, np.int64)
-    return pa.table({"u": np.concatenate([empty, *found_u]), "v": np.concatenate([empty, *found_v])})
+    own = [np.sort(values[bounds[i] : bounds[i + 1]]) for i in others]
+    overlap = np.zeros((len(others), len(members)), dtype=np.int64)
+    edges = np.array([k << CUT_SHIFT for k in range(1, CUTS)], dtype=np.uint64)
+    cuts = [0, *np.searchsorted(grams, edges), len(grams)]
+    for row, mine in enumerate(own):
+        own_cuts = [0, *np.searchsorted(mine, edges), len(mine)]
+        for k in range(CUTS):
+            part, wanted = grams[cuts[k] : cuts[k + 1]], mine[own_cuts[k] : own_cuts[k + 1]]
+            low, high = np.searchsorted(part, wanted, "left"), np.searchsorted(part, wanted, "right")
+            width = high - low
+            hits = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
+            overlap[row] += np.bincount(owner[cuts[k] + hits], minlength=len(members))
+    linked = (100 * overlap >= PERCENT * (n[others][:, None] + n[members] - overlap)) & (labels[members] != labels[others][:, None])
+    u, v = np.nonzero(linked)
+    return pa.table({"u": keys[others][u], "v": keys[members][v]})
 
 
 def _list_pairs(lists: DataFrame) -> DataFrame:
     """Every pair of different components that shares a list: those outside a list's main component with all others of it."""
-    by_label = lists.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = by_label.groupBy("gram").agg(F.max(F.struct("c", "label")).alias("m")).select("gram", F.col("m.label").alias("main"))
-    outside = lists.join(main, "gram").filter(F.col("label") != F.col("main")).select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("label").alias("lx"))
+    outside = lists.filter(F.col("label") != F.col("main")).select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("label").alias("lx"))
     met = outside.join(lists, "gram").filter(F.col("label") != F.col("lx"))
     first = F.col("x") < F.col("key")
     side = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
@@ -301,25 +316,27 @@ def _list_pairs(lists: DataFrame) -> DataFrame:
     return pairs.filter(_fits()).distinct()
 
 
-def _left_over(lists: DataFrame, sets: DataFrame) -> DataFrame:
+def _left_over(lists: DataFrame, sets: DataFrame, pairs: int, size: int) -> DataFrame:
     """All links (u, v) that are left between components that share a list.
 
-    By family (lists tied together by the documents they share), in the cheaper
-    of two ways: blocks of the documents outside the main component and all
-    members, which suits dense families, or the pairs that share a list, which
-    suits loose ones.
+    Where the lists hold few pairs, pair by pair. Else by family (lists tied
+    together by the documents they share), in the cheaper of two ways: blocks of
+    the documents outside the main component and all members, which suits dense
+    families, or the pairs that share a list, which suits loose ones.
     """
-    root = lists.groupBy("gram").agg(F.min("key").alias("v"))
-    tied = stars(lists.join(root, "gram").select(F.col("key").alias("u"), "v"))
+    lists = lists.withColumn("tie", F.col("pivot.key")).drop("pivot")
+    if pairs <= DIRECT * size:
+        return _counted_links(_list_pairs(lists.drop("tie")), sets)
+    tied = stars(lists.select(F.col("key").alias("u"), F.col("tie").alias("v")))
     placed = cut(lists.join(tied.select(F.col("u").alias("key"), F.col("v").alias("family")), "key", "left").withColumn("family", F.coalesce("family", "key")))
 
     members = placed.select("family", "key", "n", "label").distinct()
     by_label = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
     main = by_label.groupBy("family").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all")).withColumn("out", F.col("all") - F.col("m.c"))
     parts = lambda c, size: F.ceil(F.col(c) / F.lit(size)).cast("int")
-    sized = main.select("family", F.col("m.label").alias("main"), "all", "out", parts("out", OUTSIDE).alias("outer"), parts("all", MEMBERS).alias("inner")).filter(F.col("out") > 0)
-    in_list = placed.groupBy("family", "gram", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("family", "gram").agg(F.sum("c").alias("all"), F.max("c").alias("most"))
-    by_pairs = in_list.groupBy("family").agg(F.sum((F.col("all") - F.col("most")) * F.col("all").cast("double")).alias("pairs"))
+    sized = main.select("family", F.col("m.label").alias("centre"), "all", "out", parts("out", OUTSIDE).alias("outer"), parts("all", MEMBERS).alias("inner")).filter(F.col("out") > 0)
+    in_list = placed.groupBy("family", "gram").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("label") != F.col("main")).alias("out"))
+    by_pairs = in_list.groupBy("family").agg(F.sum(F.col("out") * F.col("all").cast("double")).alias("pairs"))
     loose = F.col("pairs") < F.col("all") * F.col("outer") + F.col("out") * F.col("inner")
     sized = cut(sized.join(by_pairs, "family").withColumn("loose", loose))
 
@@ -328,45 +345,44 @@ def _left_over(lists: DataFrame, sets: DataFrame) -> DataFrame:
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     columns = ["family", "key", "n", "label"]
     as_member = rows.select(*columns, F.lit(False).alias("outside"), every("outer").alias("o"), part("inner", "m").alias("i"))
-    as_outside = rows.filter(F.col("label") != F.col("main")).select(*columns, F.lit(True).alias("outside"), part("outer", "o").alias("o"), every("inner").alias("i"))
+    as_outside = rows.filter(F.col("label") != F.col("centre")).select(*columns, F.lit(True).alias("outside"), part("outer", "o").alias("o"), every("inner").alias("i"))
     blocks = as_member.unionByName(as_outside).join(sets, "key").groupBy("family", "o", "i").applyInArrow(block_links, "u long, v long")
 
-    pairs = cut(_list_pairs(placed.join(sized.filter("loose").select("family"), "family").drop("family")))
-    return blocks.unionByName(links(pairs, sets))
+    few = _list_pairs(placed.join(sized.filter("loose").select("family"), "family").drop("family", "tie"))
+    return blocks.unionByName(_counted_links(few, sets))
 
 
-def _work(lists: DataFrame) -> tuple[int, int]:
-    """Pairs that ``_left_over`` would make at most, and rows of the lists."""
-    by_label = lists.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"))
-    by_gram = by_label.groupBy("gram").agg(F.sum("c").alias("all"), F.max("c").alias("most"))
-    row = by_gram.agg(F.sum((F.col("all") - F.col("most")) * F.col("all").cast("double")).alias("pairs"), F.sum("all").alias("rows")).first()
-    return int(row["pairs"] or 0), int(row["rows"] or 0)
+def _counted_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    done, seen = cut_with(pairs, n=F.count(F.lit(1)))
+    return links(packed(done, seen["n"]), sets, seen["n"])
 
 
 def components(documents: DataFrame) -> DataFrame | None:
     """(u, v): keys that link, directly or not, with the smallest such key; None where none do."""
     able = documents.filter(F.col("shared").isNotNull())
     rows = able.select("key", "n", F.size("shared").alias("s"), F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("gram")).distinct()
-    several = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select("gram")
-    lists = cut(rows.join(several, "gram"))
-    lists = packed(lists, lists.count())
-    sets = cut(able.select("key", "shared").join(lists.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
-    sets = packed(sets, sets.count(), SETS_PER_TASK)
-    found: DataFrame | None = None
-    for turn in range(MOST_ROUNDS):
-        labelled = lists.withColumn("label", F.col("key")) if found is None else cut(_labelled(lists, found).select("gram", "key", "n", "s", "label"))
-        pairs, size = _work(labelled)
+    lists, seen = cut_with(rows, n=F.count(F.lit(1)))
+    lists = packed(lists, seen["n"])
+    found = sets = None
+    turn = before = 0
+    while True:
+        if found is None:
+            labelled = lists.withColumn("label", F.col("key"))
+        else:
+            own = lists.join(found.select(F.col("u").alias("key"), F.col("v").alias("label")), "key", "left")
+            labelled = cut(own.withColumn("label", F.coalesce("label", "key")))
+        grouped, pairs, size = _grouped(labelled, turn)
         if not pairs:
             return found
-        if turn and pairs <= FEW * size:
+        if sets is None:
+            sets, seen = cut_with(able.select("key", "shared").join(grouped.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), n=F.count(F.lit(1)))
+            sets = packed(sets, seen["n"], SETS_PER_TASK)
+        if turn and (pairs <= FEW * size or 2 * pairs > before):  # few pairs are left, or another pivot would not change that
             break
-        labelled = packed(labelled, size)
-        new = links(cut(_pivots(labelled, turn)), sets)
+        new = _counted_links(_pivots(grouped), sets)
         found = stars(new if found is None else found.unionByName(new))
-        lists = labelled.drop("label")
-    rest = cut(_labelled(lists, found).select("gram", "key", "n", "s", "label"))
-    new = _left_over(packed(rest, rest.count()), sets)
-    return stars(found.unionByName(new))
+        lists, before, turn = grouped.select("gram", "key", "n", "s"), pairs, turn + 1
+    return stars(found.unionByName(_left_over(grouped, sets, pairs, size)))
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -392,8 +408,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     pass straight through; only those that hit meet the ids themselves.
     """
     groups = ngram_components(docs.select("doc_id", "text"))
-    gone = cut(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("word")))
-    bits = filter_bits(gone.count())
+    gone, seen = cut_with(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("word")), n=F.count(F.lit(1)))
+    bits = filter_bits(seen["n"])
     hit, identity = fresh(docs.columns, "hit", "gone_id")
     probed = probe(docs, repeat_filter(gone, bits), F.col("doc_id").cast("bigint"), bits, hit)
     straight = probed.filter(~F.col(hit)).drop(hit)

@@ -5,7 +5,11 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that can each have more than one in so many of all rows.
+HOT_SHARE = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +47,25 @@ def cut(frame: DataFrame) -> DataFrame:
     return done
 
 
+def cut_with(frame: DataFrame, **totals: Column) -> tuple[DataFrame, dict]:
+    """A cut ``frame`` and aggregates of its rows, from the one job that writes it."""
+    seen = Observation()
+    done = cut(frame.observe(seen, *[c.alias(n) for n, c in totals.items()]))
+    return done, seen.get
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``groups``, which has one row a ``key`` with the number of its rows in ``size``.
+
+    A key of more than one in ``HOT_SHARE`` of all ``total`` rows stays out of
+    the shuffle: there are at most ``HOT_SHARE`` such keys, so that their groups
+    can be broadcast whatever the size of the input. No other key is large.
+    """
+    limit = total // HOT_SHARE + 1
+    hot, rest = F.broadcast(groups.filter(F.col(size) > limit)), groups.filter(F.col(size) <= limit)
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest.hint("merge"), key))
+
+
 def packed(frame: DataFrame, n: int, per_task: int = 50_000) -> DataFrame:
     """A cut ``frame`` of ``n`` rows in no more partitions than these are worth, so that small tables make few shuffle files."""
     return frame.coalesce(n // per_task + 1)
