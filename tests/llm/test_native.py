@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat_format, exact_dedup, sharding
+from tidelog.llm import chat_format, exact_dedup, sharding, tables
 from tidelog.llm.tables import table
 
 TEXTS = ["a b", "ab", "a\tb\n", None, "", " \x0b", "ab ", "a  b", "x", "é", "é", " ", "Ab", "ab" * 30000, ("ab" * 30000) + " ", "ab"]
@@ -32,12 +32,24 @@ def test_exact_dedup(spark):
 
 
 def test_exact_dedup_when_the_filter_is_full(spark, monkeypatch):
-    """A filter with nothing but false positives sends every row through the groups, with the same result."""
-    monkeypatch.setattr(exact_dedup, "MIN_FILTER_BITS", 64)
-    monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", 64)
-    rows = [(i, f"text {i % 300}") for i in range(500)]
-    found = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found} == dedup_brute(rows)
+    """A filter with nothing but false positives sends every row through the groups, with the same result; large groups are set apart."""
+    monkeypatch.setattr(exact_dedup, "MIN_BLOCKS", 1)
+    monkeypatch.setattr(exact_dedup, "MAX_BLOCKS", 1)
+    monkeypatch.setattr(tables, "HOT_SHARE", 200)
+    rows = [(i, f"text {i % 300 if i % 3 else 0}") for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for found in (exact_dedup.exact_dedup(docs).collect(), exact_dedup.narrow(docs).collect()):
+        assert {(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found} == dedup_brute(rows) and len(found) == len(rows)
+
+
+def test_drop_copies(spark):
+    rows = [*enumerate(TEXTS), (None, "a b"), (None, "only"), (3, "other"), (3, "other"), (9, "other")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, hit int")
+    kept = exact_dedup.drop_copies(docs)
+    keep = {(i, sha) for i, least, _, sha in dedup_brute(rows) if i == least}
+    sha = lambda t: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t or "").encode()).hexdigest()
+    assert kept.columns == docs.columns and sorted(r["hit"] for r in kept.collect()) == [n for n, (i, t) in enumerate(rows) if (i, sha(t)) in keep]
+    assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
 
 
 def test_exact_dedup_edges(spark):
@@ -47,8 +59,37 @@ def test_exact_dedup_edges(spark):
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
-def test_exact_dedup_plan_shuffles_candidates_only(spark, sf_dir):
-    plan = exact_dedup.op2_exact_dedup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+def shuffled_rows(frame):
+    """Rows that the exchanges of ``frame`` write, by running it."""
+    frame.collect()
+    todo, found = [frame._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if name == "ShuffleExchangeExec":
+            found.append(node.metrics().get("shuffleRecordsWritten").get().value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_exact_dedup_shuffles_blocks_and_candidates_only(spark):
+    """Pass 1 exchanges at most one row a block and task; pass 2 only the rows that hit, less than a tenth where copies are few."""
+    rows = spark.range(0, 60_000, 1, 3).selectExpr("id AS doc_id", "concat('text ', if(id % 100 = 0, 0, id)) AS text")
+    hashes = exact_dedup.hashed(rows, "text", "h", "chars").select("h")
+    blocks = exact_dedup.block_count(60_000)
+    assert blocks * 3 < 60_000 / 10
+    (sent,) = shuffled_rows(exact_dedup.collisions(hashes, "h", blocks))
+    assert sent <= blocks * 3
+    found = exact_dedup.narrow(rows)
+    assert all(n < 6000 for n in shuffled_rows(found)) and found.filter("kept").count() == 60_000 - 599
+    plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
 
 
