@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's ``docs``. All but the last return
 the columns of ``documents``, for the documents they keep.
+
+Defined results, of every stage: a null text is an empty one; texts of any
+length are read whole; rows that repeat an id or a text are rows like others (a
+stage that keeps one of several says which); no documents give no rows; further
+columns of ``docs``, of whatever names, are handed on as they are.
 """
 
 from __future__ import annotations
@@ -30,14 +35,20 @@ def guarded(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labelled ones among them, doesn't find toxic."""
+    """Documents that the classifier, learned from the labelled ones among them, doesn't find toxic.
+
+    Empty texts get the intercept's score; with no labels nothing is toxic.
+    """
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     rows, own = guarded(docs, "text")
     return toxicity.score(rows, model).filter(F.col("predicted") == 0).select(*own)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told."""
+    """Documents in a language that can be told, with a posterior of ``LEAST_SCORE`` at least.
+
+    Texts without a letter are in none. Of languages that tie the first counts.
+    """
     model = language_id.fit(docs.select("doc_id", "lang", "text"))
     rows, own = guarded(docs, "text")
     told = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
@@ -45,18 +56,23 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    rows, own = guarded(docs, "text", "doc_id")
-    return exact_dedup.exact_dedup(rows).filter("kept").select(*own)
+    """One document of each group of equal texts: the longest, of equally long ones that of the smallest id, a null id last.
+
+    Rows of equal text and id are one document, kept or dropped together.
+    """
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of near copies."""
+    """The document of the smallest id of each component of near copies.
+
+    Texts without words are near to none and stay.
+    """
     return ngram_join.drop_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents' pieces and their places in sequences."""
+    """The remaining documents' pieces and their places in sequences; an empty text is the closing id alone."""
     return packing.pack_documents(docs.select("doc_id", "text"))
 
 
