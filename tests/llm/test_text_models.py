@@ -68,8 +68,11 @@ def test_cache_bound_changes_nothing(monkeypatch):
     whole = lid.scorer(model)
     expected = [whole(t)[1].to_pylist() for t in texts]
     monkeypatch.setattr(lid, "CACHE_WORDS", 6)
+    monkeypatch.setattr(lid, "LEAST_CACHE", 6)
     small = lid.scorer(model)
     assert [small(t)[1].to_pylist() for t in texts] == expected
+    many = pa.array(["the " + " ".join(f"w{chr(97 + i)}" for i in range(20)), "und der", "the", None, "and und der the a b c d"])
+    assert small(many)[0] == whole(many)[0] and small(many)[1].to_pylist() == pytest.approx(whole(many)[1].to_pylist())
 
 
 def test_toxicity_held_out(spark):

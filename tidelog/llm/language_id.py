@@ -266,10 +266,12 @@ def scorer(model: LanguageModel) -> Callable[[pa.Array], list[pa.Array]]:
                     total += sums(words[at : at + room])
                 out[i] = told(total)
             elif words:
-                if len(wanted.union(words)) > room:
+                new = set(words).difference(wanted)
+                if len(wanted) + len(new) > room:
                     flush()
+                    new = set(words)
                 held.append(i)
-                wanted.update(words)
+                wanted.update(new)
         flush()
         names, scores = zip(*out, strict=True) if out else ((), ())
         return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
