@@ -156,6 +156,7 @@ def sender(fragments: int):
 
 def answer(rows: pa.Table) -> pa.Table:
     """A fragment's answers: for each batch its n-grams that several documents have, and how many do."""
+    claim("ngram_join")
     names = rows.schema.names
     if rows.num_rows and rows.column("target")[0].as_py() < 0:
         return rows
@@ -189,6 +190,7 @@ DOCUMENT = "doc_id long, key long, n long, prefix int, shared array<long>"
 
 def gather(rows: pa.Table) -> pa.Table:
     """A batch's documents; those that may link have their shared n-grams, rarest first, the first ``prefix`` of them being the prefix."""
+    claim("ngram_join")
     parts = {p: rows.column(p).to_pylist() for p in PARTS}
     local = next(i for i, k in enumerate(parts["keys"]) if k is not None)
     kind = lambda p, t: np.frombuffer(parts[p][local] or b"", t)

@@ -51,7 +51,7 @@ VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
 SLICES, NODES = 64, 10_000
 #: Fillings of a node that others are tested against, and levels of the search that keep their place in memory.
 COMPARED, LIVE = 32, 48
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS, SLICE_BYTES = 200_000, 2 << 20
 RUN = re.compile("[^a-z0-9à-öø-ÿ ][,.] ")
 SHAPE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
@@ -167,7 +167,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = loaded(path)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE_BYTES):
                 rows: list[tuple] = []
                 source: list[int] = []
                 for i, packed in enumerate(tokenizer.encode(part.column(1).to_pylist())):

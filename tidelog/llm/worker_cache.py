@@ -12,12 +12,15 @@ import contextlib
 import ctypes
 import gc
 
+import pyarrow as pa
+
 _CACHES: dict[str, dict] = {}
 
 
 def trim() -> None:
     """Hand freed memory back to the system, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
