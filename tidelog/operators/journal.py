@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.config import quoted
@@ -17,21 +17,30 @@ DDL = (
 )
 
 
-def journal_rows(changes: DataFrame, captured_at=None, width: int = BUCKET) -> DataFrame:
-    """Journal rows of enriched changes, numbered by write order within each tenant's table.
+def change_rows(changes: DataFrame, captured_at=None) -> DataFrame:
+    """Journal rows of enriched changes, not numbered yet.
 
     The LSN is that of the commit for every row of a transaction; ``event_seq``
     keeps the change's own place in the log.
     """
     old = F.col("old_kind") if "old_kind" in changes.columns else F.lit(None).cast("string")
-    rows = changes.select(
+    return changes.select(
         "tenant", "schema_name", "table_name", F.col("xid").cast("bigint").alias("XID"), format_lsn(F.col("commit_lsn")).alias("LSN"), F.col("tag").alias("Operation"),
         delta_json(F.col("tag"), F.col("old"), F.col("new"), old).alias("Data"), F.col("user_id").alias("UserID"), F.col("app_name").alias("Origin"),
         F.col("commit_ts").cast("timestamp").alias("CommittedAt"), (F.current_timestamp() if captured_at is None else captured_at).alias("CapturedAt"), F.col("seq").alias("event_seq"),
     )
+
+
+def numbered(rows: DataFrame, width: int = BUCKET) -> DataFrame:
+    """``rows`` numbered by write order within each tenant's table; they are read twice and best staged."""
     return sequence_number(rows, ["tenant", "table_name"], "event_seq", "JournalID", width=width)
 
 
+def journal_rows(changes: DataFrame, captured_at=None, width: int = BUCKET) -> DataFrame:
+    """Numbered journal rows of enriched changes."""
+    return numbered(change_rows(changes, captured_at), width)
+
+
 def create_journal(spark: SparkSession, database: str, table: str) -> None:
     """The journal as a table partitioned by tenant and source table, if it isn't there yet."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(database)}")
@@ -50,10 +59,25 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """All batches, each change once: the first batch that has it counts."""
+    """All batches, each change once: the first batch that has it counts.
+
+    Batches follow one another in the log, so that as a rule no change is in two
+    of them and nothing has to be shuffled: one look at the batches' spans (a
+    scan of ``event_seq`` alone) tells. Only rows within spans that overlap, after
+    a replay under another number, are grouped.
+    """
     rows = spark.read.option("basePath", path).parquet(path)
-    first = rows.groupBy("tenant", "event_seq").agg(F.min("batch_id").alias("_first"))
-    return rows.join(first, ["tenant", "event_seq"]).filter(F.col("batch_id") == F.col("_first")).drop("_first", "batch_id")
+    spans = rows.groupBy("tenant", "batch_id").agg(F.min("event_seq").alias("low"), F.max("event_seq").alias("high"))
+    before = Window.partitionBy("tenant").orderBy("low", "batch_id").rowsBetween(Window.unboundedPreceding, -1)
+    common = spans.withColumn("reached", F.max("high").over(before)).filter(F.col("reached") >= F.col("low"))
+    common = common.select(F.col("tenant").alias("_tenant"), F.col("low").alias("_low"), F.least("high", "reached").alias("_high"))
+    if common.isEmpty():
+        return rows.drop("batch_id")
+    within = F.col("tenant").eqNullSafe(F.col("_tenant")) & F.col("event_seq").between(F.col("_low"), F.col("_high"))
+    twice = rows.join(common, within, "left_semi")
+    first = twice.groupBy("tenant", "event_seq").agg(F.min("batch_id").alias("batch_id"))
+    kept = twice.join(first, ["tenant", "event_seq", "batch_id"], "left_semi")
+    return rows.join(common, within, "left_anti").unionByName(kept).drop("batch_id")
 
 
 def reconstruct(journal: DataFrame, key: str, upto=None) -> DataFrame:

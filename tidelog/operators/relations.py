@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordering import BUCKET, forward_fill
-
 COLUMN = "struct<name:string,type_oid:bigint,typmod:int,flags:int>"
 RELATION = f"struct<schema_name:string,table_name:string,identity:string,columns:array<{COLUMN}>>"
 
 
-def with_relation(decoded: DataFrame, width: int = BUCKET) -> DataFrame:
-    """``decoded`` rows plus ``rel``: the last relation message of the row's rel_oid before it."""
-    return forward_fill(decoded, ["tenant", "rel_oid"], "seq", F.when(F.col("tag") == "R", F.col("relation")), "rel", width=width)
+def with_relation(decoded: DataFrame) -> DataFrame:
+    """``decoded`` rows plus ``rel``: the last relation message of the row's rel_oid up to it.
+
+    Relation messages are few: each becomes the range of the log in which it
+    holds, and changes are joined to ranges. No change is sorted or moved where
+    the ranges are small enough to broadcast (adaptive execution sees to that).
+    """
+    after = Window.partitionBy("tenant", "rel_oid").orderBy("seq")
+    ranges = decoded.filter(F.col("tag") == "R").select(
+        F.col("tenant").alias("_tenant"), F.col("rel_oid").alias("_oid"), F.col("seq").alias("_from"), F.lead("seq").over(after).alias("_to"), F.col("relation").alias("rel")
+    )
+    holds = (F.col("seq") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("seq") < F.col("_to")))
+    joined = decoded.join(ranges, F.col("tenant").eqNullSafe(F.col("_tenant")) & (F.col("rel_oid") == F.col("_oid")) & holds, "left")
+    return joined.select(*decoded.columns, "rel")
 
 
 def named_cells(raw: Column, rel: Column) -> Column:

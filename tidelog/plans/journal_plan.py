@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators import journal, routing, sessions, transactions
 from tidelog.sources import synth
-from tidelog.sources.staging import stage
+from tidelog.sources.staging import ensure_folder, stage
+
+#: Journals written by this process, by application and tables.
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def enriched(log: DataFrame, session_rows: DataFrame | None = None, *, prefix: str = "CDCx", untracked: list[str] | DataFrame = (), fallback: str = "asof") -> DataFrame:
@@ -32,10 +37,20 @@ def enriched(log: DataFrame, session_rows: DataFrame | None = None, *, prefix: s
 
 
 def journal_of(log: DataFrame, session_rows: DataFrame | None = None, captured_at=None, **options) -> DataFrame:
-    """Journal rows of a log."""
-    return journal.journal_rows(enriched(log, session_rows, **options), captured_at)
+    """Journal rows of a log, staged before they are numbered."""
+    return journal.numbered(stage(journal.change_rows(enriched(log, session_rows, **options), captured_at)))
 
 
 def order_journal(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """The journal of the synthetic order log; captured when committed, so that results repeat."""
     return journal_of(stage(synth.change_log(spark, sf_dir)), synth.session_table(spark, sf_dir), captured_at=F.col("commit_ts").cast("timestamp"), **options)
+
+
+def stored_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal of the synthetic order log as views read it: written once, partitioned by tenant and table, and scanned with pruning."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STORED:
+        path = f"{ensure_folder(spark)}/journal-{uuid.uuid4().hex}"
+        journal.write_batch(order_journal(spark, sf_dir), path, 0)
+        _STORED[at] = path
+    return journal.read_journal(spark, _STORED[at])

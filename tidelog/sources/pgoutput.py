@@ -124,7 +124,35 @@ def decode_message(data: bytes | None) -> dict:
 
 
 def decode(frames: DataFrame) -> DataFrame:
-    """``frames`` (tenant, seq, payload) to one row per message; ignored kinds are left out, errors are kept."""
+    """``frames`` (tenant, seq, payload) to one row per message; ignored kinds are left out, errors are kept.
+
+    In batches, begin and commit messages, whose fields have fixed places, are
+    read by expressions; only the others go through Python.
+    """
+    rows = frames.select("tenant", "seq", "payload")
+    if frames.isStreaming:
+        return _decode_any(rows)
+    control = F.coalesce(F.decode(F.substring("payload", 1, 1), "ISO-8859-1").isin("B", "C"), F.lit(False))
+    return _decode_any(rows.filter(~control)).unionByName(_decode_control(rows.filter(control)))
+
+
+def _decode_control(frames: DataFrame) -> DataFrame:
+    """Begin and commit messages, by expressions."""
+    p, tag = F.col("payload"), F.decode(F.substring("payload", 1, 1), "ISO-8859-1")
+    begin = tag == "B"
+    whole = F.length(p) >= F.when(begin, 21).otherwise(26)
+    number = lambda at, width, to: F.conv(F.hex(F.substring(p, at, width)), 16, to).cast("bigint")
+    made = {
+        "tag": tag, "error": F.when(~whole, "short frame"), "xid": F.when(begin & whole, number(18, 4, 10)), "begin_lsn": F.when(begin & whole, number(2, 8, -10)),
+        "commit_lsn": F.when(~begin & whole, number(3, 8, -10)), "end_lsn": F.when(~begin & whole, number(11, 8, -10)),
+        "commit_us": F.when(whole, F.when(begin, number(10, 8, -10)).otherwise(number(19, 8, -10))),
+    }
+    absent = {"rel_oid": "bigint", "relation": relations.RELATION, "truncated": "array<bigint>", "old_kind": "string", "old_raw": RAW, "new_raw": RAW}
+    return frames.select("tenant", "seq", *[c.alias(n) for n, c in made.items()], *[F.lit(None).cast(t).alias(n) for n, t in absent.items()])
+
+
+def _decode_any(frames: DataFrame) -> DataFrame:
+    """Messages of any kind, in Python."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -135,7 +163,7 @@ def decode(frames: DataFrame) -> DataFrame:
                 made[c] = made[c].astype("Int64")
             yield made
 
-    return frames.select("tenant", "seq", "payload").mapInPandas(run, DECODED).filter(F.col("tag").isNull() | ~F.col("tag").isin(*IGNORED) | F.col("error").isNotNull())
+    return frames.mapInPandas(run, DECODED).filter(F.col("tag").isNull() | ~F.col("tag").isin(*IGNORED) | F.col("error").isNotNull())
 
 
 def demux(envelopes: DataFrame) -> DataFrame:
@@ -188,7 +216,8 @@ def change_events(decoded: DataFrame, binary: bool = True) -> tuple[DataFrame, D
     """
     sound = decoded.filter(F.col("error").isNull())
     oids = F.when(F.col("tag") == "T", F.col("truncated")).otherwise(F.array("rel_oid"))
-    opened = sound.select(*[c for c in decoded.columns if c != "rel_oid"], F.explode(oids).alias("rel_oid")).select(*decoded.columns)
+    control = F.col("tag").isin("B", "C")
+    opened = sound.filter(~control).select(*[c for c in decoded.columns if c != "rel_oid"], F.explode(oids).alias("rel_oid")).select(*decoded.columns)
     named = relations.with_relation(opened)
     unknown = F.col("tag").isin("I", "U", "D", "T") & F.col("rel").isNull()
     known = named.filter(~unknown & (F.col("tag") != "R"))
@@ -198,6 +227,7 @@ def change_events(decoded: DataFrame, binary: bool = True) -> tuple[DataFrame, D
         is_binary = has("old_raw") | has("new_raw")
         converted = known.filter(is_binary).withColumns({"old_raw": binary_as_text(F.col("old_raw"), oids), "new_raw": binary_as_text(F.col("new_raw"), oids)})
         known = known.filter(~is_binary).unionByName(converted)
+    known = known.unionByName(sound.filter(control).withColumn("rel", F.lit(None).cast(relations.RELATION)))
     log = known.select(
         "tenant", "seq", "tag", "xid", "begin_lsn", "commit_lsn", "end_lsn", F.when(F.col("tag") == "C", pgtypes.pg_timestamp(F.col("commit_us"))).alias("commit_ts"),
         F.col("rel.schema_name").alias("schema_name"), F.col("rel.table_name").alias("table_name"), relations.named_cells(F.col("old_raw"), F.col("rel")).alias("old"),

@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ensure_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where none is set and all runs on one machine."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def stage(frame: DataFrame) -> DataFrame:
     """Compute ``frame`` once and continue from its files.
 
     For what several branches of a plan read and what is dear to make again
-    (decoded frames, an assembled log). The folder is the session's
-    ``spark.checkpoint.dir``; one of our own is used only where none is set.
+    (decoded frames, an assembled log).
     """
-    context = frame.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    ensure_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)

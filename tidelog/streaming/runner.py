@@ -32,7 +32,7 @@ def batch_rows(assembled: DataFrame, session_rows: DataFrame | None, options: St
     """Journal rows of a micro-batch, not numbered yet."""
     own, data = routing.split(assembler.changes_of(assembled), options.prefix)
     enriched = sessions.enrich(routing.tracked(data, options.untracked), routing.session_context(own), session_rows, options.fallback)
-    return journal.journal_rows(enriched).drop("JournalID")
+    return journal.change_rows(enriched)
 
 
 def start(log: DataFrame, path: str, state_dir: str, session_rows: DataFrame | None = None, options: StreamOptions | None = None) -> StreamingQuery:
