@@ -146,7 +146,7 @@ def test_reconstruct(spark):
 
 def test_states_of_all_orders(spark, sf_dir):
     """Ordinary updates, whose deltas lack the key, count: every live order, with the status of its last change."""
-    found = sorted((int(r["o_orderkey"]), r["status"], r["price"]) for r in catalogue.order_states(spark, sf_dir).collect())
+    found = sorted((int(r["o_orderkey"]), r["status"], r["price"]) for r in catalogue.state_reconstruction(spark, sf_dir).collect())
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS k", "o_orderstatus AS s", "CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS STRING) AS p").collect()
     assert found == sorted((r["k"], "X" if r["k"] % 3 == 0 else r["s"], r["p"]) for r in orders if r["k"] % 10)
 

@@ -85,7 +85,7 @@ SQL: dict[str, str] = {
     "op_counts_by_day": LOG + """SELECT strftime("CommittedAt", '%Y-%m-%d') AS day, "Operation" AS op, count(*) AS n FROM jr GROUP BY ALL""",
     "journal_by_user": LOG + """SELECT "UserID" AS user_id, table_name, count(*) AS n, count(DISTINCT "XID") AS transactions, min("LSN") AS first_lsn FROM jr GROUP BY ALL""",
     "writer_stats": LOG + """SELECT tenant, table_name, count(*) AS rows, CAST(sum(coalesce(strlen("Data"), 0)) AS BIGINT) AS bytes, count(DISTINCT "LSN") AS batches FROM jr GROUP BY ALL""",
-    "state_reconstruction": LOG + "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus AS status, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS price FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 10 <> 0",
+    "state_reconstruction": LOG + "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS status, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS price FROM orders WHERE o_orderkey % 10 <> 0",
     "latency_stats": LATENCY + f"SELECT worker, {STATS} FROM s GROUP BY worker",
     "latency_histogram": LATENCY + f"SELECT worker, {BUCKET} AS bucket, count(*) AS n FROM s GROUP BY ALL",
     "latency_percentiles": LATENCY + f""", b AS (SELECT worker, {BUCKET} AS bucket, count(*) AS n FROM s GROUP BY ALL), c AS (SELECT worker, bucket, sum(n) OVER (PARTITION BY worker ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY worker) AS total FROM b),
@@ -100,7 +100,7 @@ SQL: dict[str, str] = {
     "slot_names": CONFIG + "SELECT id, 'tidelog_slot_' || regexp_replace(lower(name), '[^a-z0-9]', '_', 'g') AS slot FROM cfg",
     "worker_configs": CONFIG + "SELECT id, coalesce(nullif(prefix, ''), 'CDCx') AS prefix, coalesce(TRY_CAST(port AS INTEGER), 5432) AS port, array_to_string(['T' || (id % 3), 'U'], ',') AS untracked FROM cfg",
     "backoff_delays": "SELECT CAST(n_nationkey AS BIGINT) AS failures, CAST(least(500 * power(2, n_nationkey), 60000) AS BIGINT) AS delay_ms FROM nation",
-    "json_escape": "SELECT doc_id, to_json(text)::VARCHAR AS quoted FROM documents WHERE text IS NOT NULL",
+    "json_escape": "SELECT doc_id, CASE WHEN text IS NOT NULL THEN to_json(text)::VARCHAR END AS quoted FROM documents",
     "pgoutput_decode": "SELECT o_orderkey * 3 AS seq, CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_orderpriority FROM orders",
     "pgoutput_frames": "SELECT tag, n FROM (VALUES ('R', 1)) v(tag, n) UNION ALL SELECT t, (SELECT count(*) FROM orders) FROM (VALUES ('B'), ('I'), ('C')) w(t)",
     "identity_scan": "SELECT r_name AS nspname, n_name AS relname FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 <> 0",
@@ -108,6 +108,17 @@ SQL: dict[str, str] = {
     "type_conversions": "SELECT o_orderkey, strftime(make_timestamp(946684800000000 + o_orderkey * 86399999999 + o_orderkey), '%Y-%m-%d %H:%M:%S') || CASE WHEN (o_orderkey * 86399999999 + o_orderkey) % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST((o_orderkey * 86399999999 + o_orderkey) % 1000000 AS VARCHAR), 6, '0') END || '+00' AS ts, CAST(DATE '2000-01-01' + CAST(o_orderkey AS INTEGER) AS VARCHAR) AS day, '\\x' || lower(hex(o_orderpriority)) AS bytes FROM orders",
     "demux_envelopes": "SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN 'k' ELSE 'w' END AS kind, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS data_start, o_orderkey + 10 AS wal_end, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 2 = 1 END AS reply, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS body FROM orders",
     "binary_decode": "SELECT o_orderkey AS seq, CAST(o_orderkey AS VARCHAR) AS k, CAST(o_custkey AS VARCHAR) AS c, CAST(DATE '2000-01-01' + CAST(o_orderkey AS INTEGER) AS VARCHAR) AS day, strftime(TIMESTAMP '2000-01-01' + o_orderkey * INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') AS ts, CASE WHEN o_orderkey % 2 = 1 THEN 't' ELSE 'f' END AS ok, o_orderpriority AS p FROM orders",
+    "pgoutput_changes": """WITH c AS (SELECT o_orderkey AS k, o_orderkey % 8 AS kind, * FROM orders)
+    SELECT k AS seq, CASE kind WHEN 0 THEN 'I' WHEN 1 THEN 'U' WHEN 2 THEN 'U' WHEN 3 THEN 'D' WHEN 4 THEN 'T' ELSE 'I' END AS tag,
+      CASE WHEN kind < 5 THEN t END AS table_name, CASE kind WHEN 1 THEN 'K' WHEN 2 THEN 'O' WHEN 3 THEN 'K' END AS old_kind, CASE WHEN kind IN (1, 2, 3) THEN CAST(k AS VARCHAR) END AS old_key,
+      CASE kind WHEN 0 THEN o_orderstatus WHEN 1 THEN 'Y' WHEN 2 THEN 'X' END AS status, CASE WHEN kind = 1 THEN 2 WHEN kind < 5 THEN 0 END AS unchanged, CASE WHEN kind = 2 THEN 1 WHEN kind < 5 THEN 0 END AS nulls,
+      CASE kind WHEN 6 THEN 'tuple missing' WHEN 7 THEN 'unknown relation' END AS error
+    FROM c JOIN (VALUES ('orders'), ('notes')) v(t) ON t = 'orders' OR kind = 4 WHERE kind <> 5""",
+    "binary_types": """WITH c AS (SELECT o_orderkey AS k, md5(CAST(o_orderkey AS VARCHAR)) AS h, o_orderkey % 86400 AS s FROM orders)
+    SELECT k AS seq, ['1.5', '-0.25', 'NaN', '-Infinity'][k % 4 + 1] AS f4, ['1.5', '-0.25', 'NaN', 'Infinity'][k % 4 + 1] AS f8, CASE WHEN k % 2 = 1 THEN '-' ELSE '' END || k || '.' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') AS num,
+      h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS id, format('{:02d}:{:02d}:{:02d}', s // 3600, s // 60 % 60, s % 60) || CASE WHEN k % 3 = 0 THEN '' ELSE '.000005' END AS t,
+      '{"k":' || k || '}' AS doc, '[' || k || ']' AS js, CAST(k % 32768 AS VARCHAR) AS i2, CAST(k + 3000000000 AS VARCHAR) AS o, '\\x' || lower(format('{:08x}', k)) AS raw,
+      strftime(TIMESTAMP '2000-01-01' + k * INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') || '+00' AS at FROM c""",
     "delta_key_identity": LOG + """SELECT n * 1000 + 1 AS seq, '{"o_custkey":' || o_custkey || ',"o_orderstatus":"X","o_totalprice":' || CAST(o_totalprice AS DECIMAL(15,2)) || ',"o_orderpriority":"' || o_orderpriority || '"}' AS delta FROM oj WHERE step = 1""",
     "tx_nested": LOG + ", a AS (SELECT n, seq, tag, table_name FROM ch UNION ALL SELECT n, begin_seq + 2, 'I', 'CDCxSession' FROM tx WHERE has_own) SELECT 1000 + n AS xid, string_agg(tag || ':' || table_name, ',' ORDER BY seq) AS changes FROM a GROUP BY n",
     "missing_journals": "SELECT 'public' AS table_schema, n_name AS table_name FROM nation WHERE n_regionkey <> 4 AND n_nationkey % 6 <> 5 AND n_nationkey % 3 <> 0",
