@@ -51,7 +51,7 @@ VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
 SLICES, NODES = 64, 10_000
 #: Fillings of a node that others are tested against, and levels of the search that keep their place in memory.
 COMPARED, LIVE = 32, 48
-CACHE_CHUNKS, SLICE_BYTES = 200_000, 2 << 20
+CACHE_CHUNKS, SLICE_BYTES = 350_000, 2 << 20
 RUN = re.compile("[^a-z0-9à-öø-ÿ ][,.] ")
 SHAPE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
