@@ -365,3 +365,13 @@ def test_slices_cover_all():
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(["x" * (i * 100) for i in range(10)])], names=["i", "t"])
     assert list(itertools.chain.from_iterable(s.column(0).to_pylist() for s in slices(batch, 1, 500))) == list(range(10))
+
+
+def test_words_of_the_subject():
+    """Classes and ids that speak of an article's subject don't lose its text."""
+    long = " ".join(["The quarterly figures were better than anyone had thought, and the price rose all day."] * 6)
+    menu = '<nav><a href="/">Home</a></nav><div class="cookie-banner">We use cookies.</div>'
+    assert html_text.main_text(f'<body>{menu}<div class="share-price"><p>{long}</p><p>{long}</p></div><div class="comments"><p>{long}</p></div></body>') == f"{long} {long}"
+    assert html_text.main_text(f'<body>{menu}<main><p>{long}</p><section id="social"><p>{long}</p></section></main></body>') == f"{long} {long}"
+    assert html_text.main_text(f'<body><article><div class="search-results-text"><p>{long}</p></div><p>{long}</p></article></body>') == f"{long} {long}"
+    assert html_text.main_text(f'<body><div class="post"><p>{long}</p></div><div class="sidebar"><p>{long}</p></div></body>') == long

@@ -9,7 +9,10 @@ with a Gaussian along the page and thresholded at its standard deviation, which
 gives clusters of dense lines; the content region is the articles that hold
 dense lines, or else the innermost element that holds all of them. A
 region is taken whole, so that short paragraphs between long ones stay; outside
-of articles, lines that are mostly link text and not dense are left out.
+of articles, lines that are mostly link text and not dense are left out. Where a
+page has no article and most of its text stands in elements set aside for the
+words of a class or id alone, which then are words of its subject, these words
+don't count and the ratios decide; those of reader comments always count.
 
 Defined results: null or empty html, and pages without text, give an empty text.
 White space inside a line becomes one space; lines are joined by one space in
@@ -47,6 +50,12 @@ DROPPED_WORDS = frozenset(
     "widget widgets".split()
 )
 COMMENT_WORDS = frozenset("comment comments reply replies response responses related teaser promo sponsored ad advert".split())
+#: Of the marking words, those of reader comments.
+READER_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond response responses".split())
+#: So many times the text that stays makes the text set aside by words most of a page's.
+MOSTLY = 4
+#: Not set aside, set aside by words of a class or id, set aside by what an element is.
+KEPT, BY_WORDS, DROPPED_ALWAYS = 0, 1, 2
 #: Whole names of classes and ids that mark such an element inside an article too, where single words are often those of its subject.
 OWN_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising breadcrumb breadcrumbs disqus modal nav navbar navigation newsletter overlay pager pagination popup promo "
@@ -92,12 +101,13 @@ def _marked(tag: str, classes: str, name: str, in_article: bool) -> bool:
 class LineParser(HTMLParser):
     """Collects lines: (text, tags before it, characters in links, container, article)."""
 
-    def __init__(self):
+    def __init__(self, words: bool = True):
         super().__init__(convert_charrefs=True)
+        self.words, self.by_words = words, 0  # whether marking words count, and the characters set aside by them
         self.lines: list[tuple[str, int, int, int, int]] = []
         self.parents = [-1]  # of containers
-        self.stack: list[tuple[str, bool, int, int]] = []  # tag, dropped, container, article
-        self.dropped, self.container, self.article = False, 0, -1
+        self.stack: list[tuple[str, int, int, int]] = []  # tag, dropped, container, article
+        self.dropped, self.container, self.article = KEPT, 0, -1
         self.text: list[str] = []
         self.tags = self.linked = self.links = 0
 
@@ -128,21 +138,27 @@ class LineParser(HTMLParser):
             if tag in ARTICLES and self.article < 0:
                 self.article = self.container
 
-    def drops(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def drops(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in DROPPED:
-            return True
+            return DROPPED_ALWAYS
         if not attrs and tag not in ARTICLES:
             return self.dropped
         given = {k: v or "" for k, v in attrs}
         if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
-            return True
+            return DROPPED_ALWAYS
         classes, name = given.get("class", ""), given.get("id", "")
         if tag in ARTICLES:
             # An article inside an element dropped by its class only is an article still.
-            return bool(_marks(classes) & COMMENT_WORDS) or self.dropped and any(t in DROPPED for t, *_ in self.stack)
+            return DROPPED_ALWAYS if _marks(classes) & COMMENT_WORDS or self.dropped and any(t in DROPPED for t, *_ in self.stack) else KEPT
         if tag in ("html", "body"):
             return self.dropped
-        return self.dropped or _marked(tag, classes, name, self.article >= 0) or given.get("role", "").lower() in DROPPED_ROLES
+        if given.get("role", "").lower() in DROPPED_ROLES:
+            return DROPPED_ALWAYS
+        if self.dropped == DROPPED_ALWAYS or not _marked(tag, classes, name, self.article >= 0):
+            return self.dropped
+        if self.article >= 0 or _marks(f"{classes} {name}") & READER_WORDS:
+            return DROPPED_ALWAYS
+        return BY_WORDS if self.words else self.dropped
 
     def leave(self, tag: str, barrier: frozenset[str] = frozenset()) -> None:
         """Close the innermost open ``tag`` and all within it."""
@@ -167,6 +183,8 @@ class LineParser(HTMLParser):
             self.text.append(data)
             if self.links:
                 self.linked += len(data)
+        elif self.dropped == BY_WORDS:
+            self.by_words += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -177,14 +195,22 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def parsed(html: str, words: bool = True) -> LineParser:
+    """The lines of a page."""
+    parser = LineParser(words)
+    parser.feed(UNENDED.sub("", html))
+    parser.close()
+    parser.flush()
+    return parser
+
+
 def main_text(html: str | None) -> str:
     """The article's text."""
     if not html:
         return ""
-    parser = LineParser()
-    parser.feed(UNENDED.sub("", html))
-    parser.close()
-    parser.flush()
+    parser = parsed(html)
+    if parser.by_words and all(line[4] < 0 for line in parser.lines) and parser.by_words > MOSTLY * sum(len(line[0]) for line in parser.lines):
+        parser = parsed(html, words=False)
     lines = parser.lines
     if not lines:
         return ""
