@@ -3,14 +3,15 @@
 import base64
 import json
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators import transactions
 from tidelog.sources import pgoutput as p
-from tidelog.streaming import runner, source
-from tidelog.streaming.supervisor import FAILED, Reconnection, Supervisor
+from tidelog.streaming import bootstrap, runner, source
+from tidelog.streaming.supervisor import FAILED, RECONNECTING, STREAMING, Reconnection, Supervisor
 
 COLUMNS = [("id", 23, True), ("v", 25, False), ("n", 1700, False)]
 FRAMES = [
@@ -89,6 +90,7 @@ def test_stream_equals_batch(spark, decoded, tmp_path, size):
     assert {(r["event_seq"], r["table_name"]) for r in found.collect()} == {(s, t) for s, t, _ in expected}
     by_status = {r["status"]: r["n"] for r in runner.counters(spark, f"{tmp_path}/out").collect()}
     assert by_status["COMMITTED"] == 2 and by_status["CHANGE"] == len(expected)
+    assert by_status["PARSE_ERROR"] == 3 and by_status["UNKNOWN_RELATION"] == 2
     slots = spark.read.option("basePath", f"{tmp_path}/out/checkpoint").parquet(f"{tmp_path}/out/checkpoint").agg(F.max("ConfirmedLSN")).first()[0]
     assert slots == "0/00000198"
 
@@ -126,6 +128,85 @@ def test_supervisor():
     assert s.close()["workers"] == 2 and not s.workers
 
 
+def test_worker_reconnects():
+    made, broken = [], []
+
+    def begin():
+        if broken:
+            raise RuntimeError(broken.pop())
+        made.append(FakeQuery())
+        return made[-1]
+
+    s = Supervisor(lambda settings: begin, policy=lambda: Reconnection(most=3, base_ms=1, jitter=0.0))
+    s.poll({"a": {}})
+    worker = s.workers["a"]
+    made[0].isActive, made[0].failure = False, RuntimeError("lost")
+    broken.append("still down")
+    assert s.reap() == [] and worker.state == RECONNECTING
+    states = []
+    while worker.state == RECONNECTING and len(states) < 1000:
+        time.sleep(0.005)
+        states.append(worker.refresh())
+    assert worker.state == STREAMING and worker.query is made[1] and worker.reconnections == 1 and worker.errors == 2
+    assert worker.snapshot()["state"] == "STREAMING" and worker.policy.failures == 2
+    worker.policy.stable_s = 0.0
+    assert worker.refresh() == STREAMING and worker.policy.failures == 0  # it has held
+    worker.policy.most = 0
+    made[1].isActive, made[1].failure = False, RuntimeError("lost")
+    assert s.reap() == ["a"] and not s.workers
+    made[:] = []
+
+
+def test_run_survives_an_unreadable_list():
+    s = Supervisor(lambda settings: FakeQuery, policy=lambda: Reconnection(most=0, base_ms=1, jitter=0.0))
+    seen, reports = [], []
+
+    def desired():
+        seen.append(1)
+        if len(seen) == 1:
+            raise OSError("away")
+        s.shutdown()
+        return {"a": {}}
+
+    s.run(desired, tick_s=0.01, poll_s=0.01, health_s=0.0, report=lambda snapshots: reports.append(len(snapshots)))
+    assert len(seen) == 2 and reports[0] == 0 and reports[-1] == 1 and not s.workers
+
+
+def test_reader_answers_and_acknowledges(tmp_path):
+    path = tmp_path / "f.jsonl"
+    sent = [b"w" + struct.pack(">QQq", 1, 2, 3) + b"one", b"k" + struct.pack(">QqB", 9, 3, 1), b"k" + struct.pack(">QqB", 9, 3, 0), b"w" + struct.pack(">QQq", 1, 2, 3) + b"two", b"raw"]
+    path.write_text("".join(json.dumps({"seq": i, "payload": base64.b64encode(f).decode()}) + "\n" for i, f in enumerate(sent)))
+    reader = source.FrameReader({"path": str(path), "maxframes": "10", "envelopes": "true", "ackseconds": "0"})
+    rows, end = reader.read(reader.initialOffset())
+    found = [("main", 0, b"one"), ("main", 3, b"two"), ("main", 4, b"raw")]
+    assert list(rows) == found and end == {"position": 4}
+    assert (tmp_path / "f.jsonl.replies").read_bytes()[:25] == p.standby_status(0, 0)[:25]
+    reader.commit(end)
+    (tmp_path / "f.jsonl.confirmed").unlink()
+    assert list(reader.read(end)[0]) == [] and (tmp_path / "f.jsonl.confirmed").read_text() == "4"
+    reader.most = 2  # a batch is read again whole, whatever the limit is by then
+    assert list(reader.readBetweenOffsets({"position": -1}, end)) == found
+    assert len((tmp_path / "f.jsonl.replies").read_bytes()) == 34
+
+
+def test_bootstrap(spark, tmp_path):
+    class Half:
+        def __init__(self):
+            self.ran = []
+
+        def execute(self, statement):
+            if "PUBLICATION" in statement:
+                raise RuntimeError("exists already")
+            self.ran.append(statement)
+
+    spark.createDataFrame([("t", "public", "b"), ("t", "public", "a"), ("u", "public", "c")], "tenant string, table_schema string, table_name string").write.parquet(f"{tmp_path}/tables")
+    tables = bootstrap.published(spark, f"{tmp_path}/tables", "t")
+    client = Half()
+    assert tables == [("public", "a"), ("public", "b")] and bootstrap.published(spark, "", "t") == []
+    assert bootstrap.prepare(client, "CDCx", "slot", tables) == 3 and client.ran[-1] == 'ALTER TABLE "public"."b" REPLICA IDENTITY FULL'
+    assert bootstrap.prepare(object(), "CDCx", "slot", tables) == 0
+
+
 def test_reconnection():
     import threading
 

@@ -125,6 +125,19 @@ def test_checkpoints(spark, tmp_path):
         assert checkpoint.resume_lsn(checkpoint.load(spark, path), "s") == max(500, lsn)
     assert checkpoint.resume_lsn(checkpoint.load(spark, path), "other", "0/1F\n") == 31
     assert checkpoint.resume_lsn(checkpoint.load(spark, path), "other") == 0
+    checkpoint.save(spark, path, new(600), 2)  # again: from version 1, not from itself
+    assert checkpoint.resume_lsn(checkpoint.load(spark, path), "s") == 600
+    for version in range(3, 6):
+        checkpoint.save(spark, path, new(100 * version), version)
+    assert sorted(x.name for x in (tmp_path / "c").iterdir()) == ["version=3", "version=4", "version=5"]
+    other = spark.createDataFrame([("o", 5 << 32, WHEN)], "SlotName string, lsn long, UpdatedAt timestamp")
+    checkpoint.save(spark, f"{tmp_path}/d", other, 0)
+    for _ in range(2):
+        checkpoint.gather(spark, [path, f"{tmp_path}/d", f"{tmp_path}/none"], f"{tmp_path}/fleet")
+    assert sorted((r["SlotName"], r["ConfirmedLSN"]) for r in checkpoint.load(spark, f"{tmp_path}/fleet").collect()) == [("o", "5/00000000"), ("s", "0/00000258")]
+    assert checkpoint.read_lsn(spark, f"{tmp_path}/x.lsn") is None
+    checkpoint.write_lsn(spark, f"{tmp_path}/x.lsn", (5 << 32) + 31)
+    assert checkpoint.resume_lsn(checkpoint.load(spark, path), "other", checkpoint.read_lsn(spark, f"{tmp_path}/x.lsn")) == (5 << 32) + 31
 
 
 @pytest.mark.parametrize(("samples", "expected"), [([700], (50, 50, 50)), ([700, 700], (750, 750, 750)), ([50] * 90 + [3000] * 9 + [200000], (50, 3000, 3000))])

@@ -17,7 +17,8 @@ LOG_BYTES, LOG_FILES = 100 << 20, 10
 #: (flag, environment variable, default, kind)
 OPTIONS = [
     ("journal", "TIDELOG_JOURNAL", "journal", str), ("state", "TIDELOG_STATE", "state", str), ("tenants", "TIDELOG_TENANTS", "", str), ("max-workers", "TIDELOG_MAX_WORKERS", 64, int),
-    ("poll-seconds", "TIDELOG_POLL_SECONDS", 30, int), ("health-seconds", "TIDELOG_HEALTH_SECONDS", 10, int), ("base-delay-ms", "TIDELOG_BASE_DELAY_MS", 500, int),
+    ("sessions", "TIDELOG_SESSIONS", "", str), ("session-fallback", "TIDELOG_SESSION_FALLBACK", "asof", str), ("client", "TIDELOG_CLIENT", "tidelog.streaming.source:FileClient", str),
+    ("published", "TIDELOG_PUBLISHED", "", str), ("poll-seconds", "TIDELOG_POLL_SECONDS", 30, int), ("health-seconds", "TIDELOG_HEALTH_SECONDS", 10, int), ("base-delay-ms", "TIDELOG_BASE_DELAY_MS", 500, int),
     ("max-delay-ms", "TIDELOG_MAX_DELAY_MS", 60_000, int), ("max-retries", "TIDELOG_MAX_RETRIES", -1, int), ("prefix", "TIDELOG_PREFIX", "CDCx", str),
     ("log-level", "TIDELOG_LOG_LEVEL", "info", str), ("log-file", "TIDELOG_LOG_FILE", "", str), ("password", "TIDELOG_PASSWORD", "", str),
 ]
@@ -70,31 +71,50 @@ def main(argv: list[str] | None = None, env: dict[str, str] | None = None) -> in
 
 def serve(given: argparse.Namespace) -> int:
     """Run a query per active tenant until told to stop."""
+    from tidelog.operators import checkpoint
     from tidelog.session import build_session
     from tidelog.sources import catalog, pgoutput
-    from tidelog.streaming import runner, source
-    from tidelog.streaming.supervisor import Supervisor
+    from tidelog.streaming import bootstrap, runner, source
+    from tidelog.streaming.supervisor import Reconnection, Supervisor
 
     spark = build_session("tidelog", spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source.register(spark)
 
     def desired() -> dict[str, dict]:
-        rows = catalog.worker_configs(catalog.active_tenants(spark.read.parquet(given.tenants)))
+        rows = catalog.worker_configs(catalog.active_tenants(spark.read.parquet(given.tenants)), given.prefix)
         return {r["Name"]: r.asDict() for r in rows.collect()}  # the tenants' list
 
     def make(config: dict):
+        slot, home = config["SlotName"], f"{given.journal}/{config['SlotName']}"
+        connection = {
+            "client": given.client, "path": config["DBHost"], "port": str(config["DBHostPort"]), "database": config["DBName"] or "", "user": config["DBUser"] or "",
+            "password": given.password or config["DBPassword"] or "", "tenant": config["Name"], "slot": slot, "envelopes": "true",
+        }
+
         def begin():
-            frames = spark.readStream.format("tidelog_frames").options(path=config["DBHost"], tenant=config["Name"], slot=config["SlotName"]).load()
-            decoded = pgoutput.decode(frames)
-            options = runner.StreamOptions(prefix=config["TablePrefix"], untracked=list(config["Untracked"]), fallback="none", frames=True, trigger={"processingTime": "1 second"})
-            return runner.start(decoded, f"{given.journal}/{config['SlotName']}", f"{given.state}/{config['SlotName']}", options=options)
+            bootstrap.prepare(source.client_of(connection), config["TablePrefix"], slot, bootstrap.published(spark, given.published, config["Name"]))
+            resume = checkpoint.resume_lsn(checkpoint.load(spark, f"{home}/checkpoint"), slot, checkpoint.read_lsn(spark, f"{home}/{slot}.lsn"))
+            frames = spark.readStream.format("tidelog_frames").options(**connection, resume=str(resume)).load()
+            sessions = spark.read.parquet(given.sessions) if given.sessions else None
+            options = runner.StreamOptions(
+                prefix=config["TablePrefix"], untracked=list(config["Untracked"]), fallback=given.session_fallback if given.sessions else "none", frames=True,
+                lsn_file=f"{home}/{slot}.lsn", trigger={"processingTime": "1 second"},
+            )
+            return runner.start(pgoutput.decode(frames), home, f"{given.state}/{slot}", sessions, options)
 
         return begin
 
-    supervisor = Supervisor(make, given.max_workers)
+    def policy() -> Reconnection:
+        return Reconnection(most=given.max_retries, base_ms=given.base_delay_ms, most_ms=given.max_delay_ms)
+
+    supervisor = Supervisor(make, given.max_workers, policy)
+
+    def report(snapshots: list[dict]) -> None:
+        checkpoint.gather(spark, [f"{given.journal}/{w.settings['SlotName']}/checkpoint" for w in supervisor.workers.values()], f"{given.journal}/fleet_checkpoint")
+
     for number in (signal.SIGINT, signal.SIGTERM, signal.SIGHUP):
         signal.signal(number, lambda *_: supervisor.shutdown())
-    supervisor.run(desired, poll_s=given.poll_seconds, health_s=given.health_seconds)
+    supervisor.run(desired, poll_s=given.poll_seconds, health_s=given.health_seconds, report=report)
     return EXIT_OK
 
 

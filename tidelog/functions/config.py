@@ -30,8 +30,8 @@ def untracked_tables(text: Column) -> Column:
     return F.array_distinct(F.filter(names, lambda x: x != ""))
 
 
-def prefix_or_default(prefix: Column) -> Column:
-    return F.coalesce(F.nullif(prefix, F.lit("")), F.lit(DEFAULT_PREFIX))
+def prefix_or_default(prefix: Column, default: str = DEFAULT_PREFIX) -> Column:
+    return F.coalesce(F.nullif(prefix, F.lit("")), F.lit(default))
 
 
 def int_or_default(text: Column, default: int = DEFAULT_PORT) -> Column:

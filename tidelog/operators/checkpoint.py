@@ -24,19 +24,68 @@ def advance(stored: DataFrame, new: DataFrame) -> DataFrame:
     return top.select("SlotName", format_lsn(F.col("lsn")).alias("ConfirmedLSN"), "UpdatedAt")
 
 
+#: Older versions that are kept beside the one in force, for readers that have begun on them.
+KEPT = 2
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions that hold data, in order."""
+    place, files = _folder(spark, path)
+    if not files.exists(place):
+        return []
+    folders = [f.getPath() for f in files.listStatus(place) if f.getPath().getName().startswith("version=")]
+    return sorted(int(f.getName().partition("=")[2]) for f in folders if any(x.getPath().getName().startswith("part-") for x in files.listStatus(f)))
+
+
 def save(spark: SparkSession, path: str, new: DataFrame, version: int) -> None:
-    """Write the next version of the checkpoint table (versions are folders; the highest holds)."""
-    advance(load(spark, path), new).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
-
-
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """The checkpoint table's latest version; empty if there is none."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], SCHEMA)
-    rows = spark.read.option("basePath", path).parquet(path)
-    latest = rows.agg(F.max("version").alias("v")).first()["v"]
-    return rows.filter(F.col("version") == latest).drop("version")
+    """Write a version of the checkpoint table (versions are folders; the highest holds) from the one before.
+
+    A version that is written again replaces itself and isn't read for it. Old
+    versions are deleted.
+    """
+    advance(load(spark, path, version), new).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+    for old in _versions(spark, path)[: -KEPT - 1]:
+        place, files = _folder(spark, f"{path}/version={old}")
+        files.delete(place, True)
+
+
+def load(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The checkpoint table's latest version, or the latest before a number; empty if there is none."""
+    found = [v for v in _versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/version={found[-1]}") if found else spark.createDataFrame([], SCHEMA)
+
+
+def gather(spark: SparkSession, paths: list[str], path: str) -> None:
+    """Upsert the checkpoint tables of all tenants into the fleet's. Rows are one a tenant; only one writer at a time."""
+    from functools import reduce
+
+    if not paths:
+        return
+    rows = reduce(DataFrame.unionByName, [load(spark, p) for p in paths])
+    save(spark, path, rows.select("SlotName", parse_lsn(F.col("ConfirmedLSN")).alias("lsn"), "UpdatedAt"), max(_versions(spark, path), default=-1) + 1)
+
+
+def write_lsn(spark: SparkSession, path: str, lsn: int) -> None:
+    """The position as a line of text, for a start without the checkpoint table."""
+    place, files = _folder(spark, path)
+    out = files.create(place, True)
+    try:
+        out.write(bytearray(f"{lsn >> 32:X}/{lsn & 0xFFFFFFFF:08X}\n".encode()))
+    finally:
+        out.close()
+
+
+def read_lsn(spark: SparkSession, path: str) -> str | None:
+    """What ``write_lsn`` has written, or None."""
+    place, files = _folder(spark, path)
+    if not files.exists(place):
+        return None
+    return "\n".join(r["value"] for r in spark.read.text(path).collect())  # one line
 
 
 def resume_lsn(checkpoints: DataFrame, slot: str, fallback_text: str | None = None) -> int:

@@ -19,10 +19,10 @@ def active_tenants(configs: DataFrame) -> DataFrame:
     return configs.filter(F.col("State") == 1).select(*[c for c in CONFIG if c in configs.columns]).orderBy("Name")
 
 
-def worker_configs(configs: DataFrame) -> DataFrame:
-    """A worker's settings from each configuration row."""
+def worker_configs(configs: DataFrame, prefix: str = config.DEFAULT_PREFIX) -> DataFrame:
+    """A worker's settings from each configuration row; ``prefix`` is that of rows without one."""
     return configs.withColumns({
-        "SlotName": config.slot_name(F.col("Name")), "TablePrefix": config.prefix_or_default(F.col("TablePrefix")), "DBHostPort": config.int_or_default(F.col("DBHostPort")),
+        "SlotName": config.slot_name(F.col("Name")), "TablePrefix": config.prefix_or_default(F.col("TablePrefix"), prefix), "DBHostPort": config.int_or_default(F.col("DBHostPort")),
         "DBCDCHostPort": config.int_or_default(F.col("DBCDCHostPort")), "Untracked": config.untracked_tables(F.col("UntrackedTables")),
     })
 

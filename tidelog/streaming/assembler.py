@@ -25,6 +25,8 @@ CHANGE = "seq long, tag string, schema_name string, table_name string, old_json
 CHANGE_FIELDS = [c.split()[0] for c in CHANGE.split(", ")]
 OUT = f"tenant string, begin_seq long, {CHANGE}, commit_seq long, xid long, begin_lsn long, commit_lsn long, end_lsn long, commit_ts timestamp, status string"
 OUT_FIELDS = [c.split()[0] for c in OUT.split(", ")]
+#: Tag of frames that can't be decoded; no message has it.
+BROKEN = "!"
 
 
 class Assembler(StatefulProcessor):
@@ -68,13 +70,17 @@ class Assembler(StatefulProcessor):
         else:
             self.begin.update(tuple(int(x) for x in opened))
         if out:
-            made = pd.DataFrame.from_records(out).reindex(columns=OUT_FIELDS)
-            for c in ("begin_seq", "seq", "commit_seq", "xid", "begin_lsn", "commit_lsn", "end_lsn"):
-                made[c] = made[c].astype("Int64")
-            made["commit_ts"] = pd.to_datetime(made["commit_ts"])
-            for c in ("tag", "schema_name", "table_name", "old_json", "new_json", "old_kind", "status", "tenant"):
-                made[c] = made[c].astype(object).where(made[c].notna(), None)
-            yield made
+            yield self._frame(out)
+
+    @staticmethod
+    def _frame(out: list[dict]) -> pd.DataFrame:
+        made = pd.DataFrame.from_records(out).reindex(columns=OUT_FIELDS)
+        for c in ("begin_seq", "seq", "commit_seq", "xid", "begin_lsn", "commit_lsn", "end_lsn"):
+            made[c] = made[c].astype("Int64")
+        made["commit_ts"] = pd.to_datetime(made["commit_ts"])
+        for c in ("tag", "schema_name", "table_name", "old_json", "new_json", "old_kind", "status", "tenant"):
+            made[c] = made[c].astype(object).where(made[c].notna(), None)
+        return made
 
     @staticmethod
     def _mark(key, opened: tuple, status: str) -> dict:
@@ -85,7 +91,10 @@ class Assembler(StatefulProcessor):
 
 
 class FrameAssembler(Assembler):
-    """The assembler over decoded frames: keeps the relations in force as state and names each tuple's cells."""
+    """The assembler over decoded frames: keeps the relations in force as state and names each tuple's cells.
+
+    Frames that can't be decoded and changes of unknown relations give a row each, to be counted.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -94,8 +103,11 @@ class FrameAssembler(Assembler):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frame = pd.concat(list(rows)).sort_values("seq")
         known: dict[int, dict | None] = {}
-        made = []
+        made, wrong = [], []
         for row in frame.to_dict("records"):
+            if row["tag"] == BROKEN:
+                wrong.append({"tenant": key[0], "status": "PARSE_ERROR", "seq": int(row["seq"])})
+                continue
             if row["tag"] == "R":
                 known[int(row["rel_oid"])] = json.loads(row["relation_json"])
                 self.relations.updateValue((int(row["rel_oid"]),), (row["relation_json"],))
@@ -107,10 +119,13 @@ class FrameAssembler(Assembler):
                 if row["tag"] not in ("B", "C"):
                     relation = self._relation(known, int(oid))
                     if relation is None:
+                        wrong.append({"tenant": key[0], "status": "UNKNOWN_RELATION", "seq": int(row["seq"]), "tag": row["tag"]})
                         continue  # a change of an unknown relation is no row of the log
                     out |= {"schema_name": relation["schema_name"], "table_name": relation["table_name"]}
                     out |= {f"{side}_json": named_json(row[f"{side}_raw_json"], relation) for side in ("old", "new")}
                 made.append(out)
+        if wrong:
+            yield self._frame(wrong)
         if made:
             yield from super().handleInputRows(key, iter([pd.DataFrame.from_records(made)]), timerValues)
 
@@ -137,8 +152,8 @@ def named_json(raw: str | None, relation: dict) -> str | None:
 def assemble_frames(decoded: DataFrame) -> DataFrame:
     """The assembler's output over a stream of decoded frames (``sources.pgoutput.decode``)."""
     keep = {"ignoreNullFields": "false"}
-    flat = decoded.filter(F.col("error").isNull()).select(
-        "tenant", "seq", "tag", "xid", "begin_lsn", "commit_lsn", "end_lsn", "commit_us", "rel_oid", F.to_json("relation", keep).alias("relation_json"), F.to_json("truncated").alias("truncated_json"),
+    flat = decoded.select(
+        "tenant", "seq", F.when(F.col("error").isNotNull(), BROKEN).otherwise(F.col("tag")).alias("tag"), "xid", "begin_lsn", "commit_lsn", "end_lsn", "commit_us", "rel_oid", F.to_json("relation", keep).alias("relation_json"), F.to_json("truncated").alias("truncated_json"),
         "old_kind", F.to_json("old_raw", keep).alias("old_raw_json"), F.to_json("new_raw", keep).alias("new_raw_json"),
     )
     return flat.groupBy("tenant").transformWithStateInPandas(FrameAssembler(), outputStructType=OUT, outputMode="append", timeMode="none")

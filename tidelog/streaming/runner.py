@@ -25,6 +25,7 @@ class StreamOptions:
     fallback: str = "asof"
     slot_prefix: str = "tidelog_slot_"
     frames: bool = False  # the input is decoded frames instead of log rows
+    lsn_file: str = ""  # of a query over one tenant: where its position is kept as text
     trigger: dict = field(default_factory=lambda: {"availableNow": True})
 
 
@@ -47,6 +48,8 @@ def start(log: DataFrame, path: str, state_dir: str, session_rows: DataFrame | N
             done = batch.filter(F.col("status") == "COMMITTED").groupBy("tenant").agg(F.max("end_lsn").alias("lsn"))
             slots = done.select(F.concat(F.lit(options.slot_prefix), "tenant").alias("SlotName"), "lsn", F.current_timestamp().alias("UpdatedAt"))
             checkpoint.save(batch.sparkSession, f"{path}/checkpoint", slots, number)
+            if options.lsn_file and (lsn := done.agg(F.max("lsn").alias("lsn")).first()["lsn"]) is not None:
+                checkpoint.write_lsn(batch.sparkSession, options.lsn_file, lsn)
             batch.groupBy("tenant", "status").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/metrics/batch_id={number}")
         finally:
             batch.unpersist()
@@ -62,6 +65,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def counters(spark: SparkSession, path: str) -> DataFrame:
-    """Committed, aborted, stray and lone-commit counts of each tenant over all batches."""
+    """Counts of each tenant over all batches: transactions by outcome, changes, strays, frames that can't be decoded, changes of unknown relations."""
     rows = spark.read.option("basePath", f"{path}/metrics").parquet(f"{path}/metrics")
     return rows.groupBy("tenant", "status").agg(F.sum("n").alias("n"))

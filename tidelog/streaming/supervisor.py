@@ -28,6 +28,7 @@ class Reconnection:
     stable_s: float = 60.0
     failures: int = 0
     since: float | None = None
+    tries: int = 0  # since the connection was last lost, or held long enough
     rng: random.Random = field(default_factory=random.Random)
 
     def delay_ms(self) -> int:
@@ -54,14 +55,29 @@ class Reconnection:
     def stable(self) -> bool:
         """Whether the connection has held long enough to forget earlier failures."""
         if self.since is not None and time.monotonic() - self.since >= self.stable_s:
-            self.failures = 0
+            self.failures = self.tries = 0
             return True
         return False
 
+    def lost(self) -> float | None:
+        """Note a failure; the time of the next attempt, or None where the limit is reached."""
+        if 0 <= self.most <= self.tries:
+            return None
+        self.since = None
+        due = time.monotonic() + self.delay_ms() / 1000
+        self.failures += 1
+        self.tries += 1
+        return due
+
 
 @dataclass
 class Worker:
-    """A tenant's query and its state."""
+    """A tenant's query and its state.
+
+    With a ``policy``, a query that fails is started again from its own
+    checkpoint, after a delay that doesn't hold up other workers; without one,
+    or at the policy's limit, the worker ends.
+    """
 
     tenant: str
     settings: dict
@@ -70,27 +86,44 @@ class Worker:
     query: object | None = None
     reconnections: int = 0
     errors: int = 0
+    policy: Reconnection | None = None
+    due: float = 0.0
 
     def begin(self) -> bool:
         self.state = CONNECTING
         try:
             self.query = self.start()
         except Exception:
-            log.exception("tenant %s: the first connection failed", self.tenant)
+            log.exception("tenant %s: the query could not be started", self.tenant)
             self.errors += 1
             self.state = FAILED
             return False
         self.state = STREAMING
+        if self.policy is not None:
+            self.policy.since = time.monotonic()
         return True
 
     def refresh(self) -> int:
-        """State as the query's own status gives it."""
+        """State as the query's own status gives it; an attempt to reconnect is made when it is due."""
         if self.state == STREAMING and self.query is not None and not self.query.isActive:
             failed = self.query.exception() is not None
             self.errors += failed
-            self.state = FAILED if failed else STOPPED
+            self.state = STOPPED
+            if failed:
+                self._lost()
+        elif self.state == STREAMING and self.policy is not None:
+            self.policy.stable()
+        elif self.state == RECONNECTING and time.monotonic() >= self.due:
+            if self.begin():
+                self.reconnections += 1
+            else:
+                self._lost()
         return self.state
 
+    def _lost(self) -> None:
+        due = None if self.policy is None else self.policy.lost()
+        self.state, self.due = (FAILED, 0.0) if due is None else (RECONNECTING, due)
+
     def stop(self) -> None:
         if self.query is not None and self.query.isActive:
             self.query.stop()
@@ -107,15 +140,15 @@ class Worker:
 class Supervisor:
     """Keeps the running workers equal to the desired tenants."""
 
-    def __init__(self, make: Callable[[dict], Callable[[], object]], most: int = 64):
-        self.make, self.most = make, most
+    def __init__(self, make: Callable[[dict], Callable[[], object]], most: int = 64, policy: Callable[[], Reconnection] | None = None):
+        self.make, self.most, self.policy = make, most, policy
         self.workers: dict[str, Worker] = {}
         self.stopping = threading.Event()
 
     def start_worker(self, tenant: str, settings: dict) -> bool:
         if tenant in self.workers:
             return False
-        self.workers[tenant] = worker = Worker(tenant, settings, self.make(settings))
+        self.workers[tenant] = worker = Worker(tenant, settings, self.make(settings), policy=self.policy() if self.policy else None)
         return worker.begin()
 
     def stop_worker(self, tenant: str) -> bool:
@@ -153,22 +186,46 @@ class Supervisor:
     def health(self) -> list[dict]:
         return [w.snapshot() for w in self.workers.values()]
 
-    def run(self, desired: Callable[[], dict[str, dict]], tick_s: float = 0.5, poll_s: float = 30.0, health_s: float = 10.0) -> None:
-        """The loop: reap at each tick, poll and report at their intervals, until ``shutdown``."""
+    def run(self, desired: Callable[[], dict[str, dict]], tick_s: float = 0.5, poll_s: float = 30.0, health_s: float = 10.0, report: Callable[[list[dict]], object] | None = None) -> None:
+        """The loop: reap at each tick, poll and report at their intervals, until ``shutdown``.
+
+        Where the tenants' list can't be read the workers go on as they are and
+        it is read again after a growing delay. ``report`` gets the workers'
+        snapshots at each health check and before they are stopped.
+        """
         next_poll = next_health = 0.0
+        admin = self.policy() if self.policy else Reconnection()
+        admin.most = -1
         while not self.stopping.is_set():
             now = time.monotonic()
             self.reap()
             if now >= next_poll:
-                self.poll(desired())
-                next_poll = now + poll_s
+                try:
+                    wanted = desired()
+                except Exception:
+                    log.exception("the tenants' list can't be read")
+                    next_poll = admin.lost() or now + poll_s
+                else:
+                    admin.failures = 0
+                    self.poll(wanted)
+                    next_poll = now + poll_s
             if now >= next_health:
-                for snapshot in self.health():
-                    log.info("worker %s", snapshot)
+                self._report(report)
                 next_health = now + health_s
             self.stopping.wait(tick_s)
+        self._report(report)
         self.close()
 
+    def _report(self, report: Callable[[list[dict]], object] | None) -> None:
+        snapshots = self.health()
+        for snapshot in snapshots:
+            log.info("worker %s", snapshot)
+        if report is not None:
+            try:
+                report(snapshots)
+            except Exception:  # a report that is missed is made up for by the next
+                log.exception("the report failed")
+
     def shutdown(self) -> None:
         self.stopping.set()
 
