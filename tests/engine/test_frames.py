@@ -78,7 +78,7 @@ def test_stream_equals_batch(spark, decoded, tmp_path, size):
             part = [("main", k, bytearray(f)) for k, f in list(enumerate(FRAMES))[i : i + size * 4]]
             spark.createDataFrame(part, source.SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i:04d}")
         frames = spark.readStream.schema(source.SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    options = runner.StreamOptions(frames=True, fallback="none", trigger={"availableNow": True} if size != 100 else {"processingTime": "1 second"})
+    options = runner.StreamOptions(frames=True, fallback="none", partitions=2, lsn_file=f"{tmp_path}/main.lsn", trigger={"availableNow": True} if size != 100 else {"processingTime": "1 second"})
     query = runner.start(p.decode(frames), f"{tmp_path}/out", f"{tmp_path}/state", options=options)
     if size == 100:
         query.processAllAvailable()
@@ -92,7 +92,8 @@ def test_stream_equals_batch(spark, decoded, tmp_path, size):
     assert by_status["COMMITTED"] == 2 and by_status["CHANGE"] == len(expected)
     assert by_status["PARSE_ERROR"] == 3 and by_status["UNKNOWN_RELATION"] == 2
     slots = spark.read.option("basePath", f"{tmp_path}/out/checkpoint").parquet(f"{tmp_path}/out/checkpoint").agg(F.max("ConfirmedLSN")).first()[0]
-    assert slots == "0/00000198"
+    assert slots == "0/00000198" and (tmp_path / "main.lsn").read_text() == "0/00000198\n"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
 
 
 class FakeQuery:

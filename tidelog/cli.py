@@ -12,6 +12,8 @@ import sys
 from tidelog import __version__
 from tidelog.functions.config import LOG_LEVELS, parse_log_level, redacted
 
+#: Shuffle partitions of a tenant's query: its open transaction is one state, its batches have at most ``maxFrames`` rows.
+TENANT_PARTITIONS = 4
 EXIT_OK, EXIT_CONFIG, EXIT_CONNECT, EXIT_FATAL = 0, 1, 2, 99
 LOG_BYTES, LOG_FILES = 100 << 20, 10
 #: (flag, environment variable, default, kind)
@@ -98,7 +100,7 @@ def serve(given: argparse.Namespace) -> int:
             sessions = spark.read.parquet(given.sessions) if given.sessions else None
             options = runner.StreamOptions(
                 prefix=config["TablePrefix"], untracked=list(config["Untracked"]), fallback=given.session_fallback if given.sessions else "none", frames=True,
-                lsn_file=f"{home}/{slot}.lsn", trigger={"processingTime": "1 second"},
+                lsn_file=f"{home}/{slot}.lsn", partitions=TENANT_PARTITIONS, trigger={"processingTime": "1 second"},
             )
             return runner.start(pgoutput.decode(frames), home, f"{given.state}/{slot}", sessions, options)
 

@@ -26,6 +26,7 @@ class StreamOptions:
     slot_prefix: str = "tidelog_slot_"
     frames: bool = False  # the input is decoded frames instead of log rows
     lsn_file: str = ""  # of a query over one tenant: where its position is kept as text
+    partitions: int | None = None  # of the query's shuffles, fixed with its first batch; None: as the session's
     trigger: dict = field(default_factory=lambda: {"availableNow": True})
 
 
@@ -56,7 +57,14 @@ def start(log: DataFrame, path: str, state_dir: str, session_rows: DataFrame | N
 
     assembled = assembler.assemble_frames(log) if options.frames else assembler.assemble_stream(log)
     writer = assembled.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", state_dir)
-    return writer.trigger(**options.trigger).start()
+    session, key = log.sparkSession, "spark.sql.shuffle.partitions"
+    before = session.conf.get(key)
+    if options.partitions:
+        session.conf.set(key, str(options.partitions))  # the query takes the setting along
+    try:
+        return writer.trigger(**options.trigger).start()
+    finally:
+        session.conf.set(key, before)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -125,8 +125,11 @@ class Worker:
         self.state, self.due = (FAILED, 0.0) if due is None else (RECONNECTING, due)
 
     def stop(self) -> None:
-        if self.query is not None and self.query.isActive:
-            self.query.stop()
+        try:
+            if self.query is not None and self.query.isActive:
+                self.query.stop()
+        except Exception:  # the session may be gone already; the query's position is in its checkpoint
+            log.exception("tenant %s: the query could not be stopped", self.tenant)
         self.state = STOPPED
 
     def snapshot(self) -> dict:
@@ -217,21 +220,25 @@ class Supervisor:
         self.close()
 
     def _report(self, report: Callable[[list[dict]], object] | None) -> None:
-        snapshots = self.health()
-        for snapshot in snapshots:
-            log.info("worker %s", snapshot)
-        if report is not None:
-            try:
+        try:
+            snapshots = self.health()
+            for snapshot in snapshots:
+                log.info("worker %s", snapshot)
+            if report is not None:
                 report(snapshots)
-            except Exception:  # a report that is missed is made up for by the next
-                log.exception("the report failed")
+        except Exception:  # a report that is missed is made up for by the next
+            log.exception("the report failed")
 
     def shutdown(self) -> None:
         self.stopping.set()
 
     def close(self) -> dict:
         """Stop all workers; the summary is taken before they go, positions are kept by their queries."""
-        summary = {"workers": len(self.workers), "health": self.health()}
+        try:
+            summary = {"workers": len(self.workers), "health": self.health()}
+        except Exception:
+            log.exception("no last look at the workers")
+            summary = {"workers": len(self.workers), "health": []}
         for tenant in list(self.workers):
             self.stop_worker(tenant)
         log.info("stopped %d workers", summary["workers"])
