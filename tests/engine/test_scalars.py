@@ -133,3 +133,16 @@ def test_admin_statements():
     assert admin.drop_slot("o'x") == "SELECT pg_drop_replication_slot('o''x')"
     assert "proto_version '1'" in admin.start_replication("s", "0/0", "pub") and admin.full_identity([("a", "b")]) == ['ALTER TABLE "a"."b" REPLICA IDENTITY FULL']
     assert '"CDCxSession"' in admin.create_session_table() and "LOGICAL" in admin.create_slot("s")
+
+
+DAYS = [(8766, "2024-01-01"), (2_921_939, "9999-12-31"), (2_921_940, "10000-01-01"), (9_000_000, "26641-03-01"), (-730_119, "0001-01-01"), (-730_120, "0001-12-31 BC"), (-746_117, "0044-03-15 BC")]
+
+
+@pytest.mark.parametrize(("days", "text"), DAYS)
+def test_days_of_any_year(spark, days, text):
+    assert pgtypes.decode_binary(1082, days.to_bytes(4, "big", signed=True)) == text
+    assert one(spark, pgtypes.format_pg_date(F.lit(days))) == text
+    day, _, era = text.partition(" ")
+    at, shown = days * 86_400_000_000 + 5, f"{day} 00:00:00.000005+00{' ' * bool(era)}{era}"
+    assert pgtypes.decode_binary(1184, at.to_bytes(8, "big", signed=True)) == shown
+    assert one(spark, pgtypes.format_pg_timestamp(F.lit(at))) == shown

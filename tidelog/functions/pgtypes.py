@@ -206,13 +206,26 @@ def _uuid(data: bytes) -> str | None:
     return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
 
 
+#: The calendar repeats itself every 400 years.
+ERA_DAYS, ERA_YEARS = 146_097, 400
+
+
+def _day_text(days: int) -> tuple[str, str]:
+    """A day (counted from 2000) as text of any year, and the suffix of years before the first."""
+    era, day = divmod(days, ERA_DAYS)
+    found = EPOCH + timedelta(days=day)
+    year = found.year + era * ERA_YEARS
+    return f"{year if year > 0 else 1 - year:04d}-{found:%m-%d}", "" if year > 0 else " BC"
+
+
 def _timestamp(suffix: str) -> Decoder:
     def decode(data: bytes) -> str:
         micros = struct.unpack_from(">q", data)[0]
         if micros in (2**63 - 1, -(2**63)):
             return "infinity" if micros > 0 else "-infinity"
-        moment = EPOCH + timedelta(microseconds=micros)
-        return moment.isoformat(sep=" ") + suffix
+        days, rest = divmod(micros, 86_400_000_000)
+        day, era = _day_text(days)
+        return f"{day} {(EPOCH + timedelta(microseconds=rest)).time().isoformat()}{suffix}{era}"
 
     return decode
 
@@ -226,7 +239,7 @@ def _date(data: bytes) -> str:
     days = struct.unpack_from(">i", data)[0]
     if days in (2**31 - 1, -(2**31)):
         return "infinity" if days > 0 else "-infinity"
-    return (date(2000, 1, 1) + timedelta(days=days)).isoformat()
+    return "".join(_day_text(days))
 
 
 @register(1083)
@@ -251,9 +264,26 @@ def pg_timestamp(micros: Column) -> Column:
 
 def format_pg_timestamp(micros: Column) -> Column:
     """Text of microseconds since 2000, the fraction only where there is one."""
-    whole = F.date_format(pg_timestamp(micros), "yyyy-MM-dd HH:mm:ss")
+    at = pg_timestamp(micros)
     part = F.pmod(micros, F.lit(1_000_000))
-    return F.concat(whole, F.when(part == 0, "").otherwise(F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0"))), F.lit("+00"))
+    fraction = F.when(part == 0, "").otherwise(F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0")))
+    return F.concat(_year_text(F.year(at)), F.date_format(at, "-MM-dd HH:mm:ss"), fraction, F.lit("+00"), _era_text(F.year(at)))
+
+
+def _year_text(year: Column) -> Column:
+    """Four digits, or as many as the year has, without a sign (casts and patterns write one beyond year 9999)."""
+    digits = F.when(year > 0, year).otherwise(1 - year).cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0"))
+
+
+def _era_text(year: Column) -> Column:
+    return F.when(year > 0, "").otherwise(" BC")
+
+
+def format_pg_date(days: Column) -> Column:
+    """Text of days since 2000."""
+    at = pg_date(days)
+    return F.concat(_year_text(F.year(at)), F.date_format(at, "-MM-dd"), _era_text(F.year(at)))
 
 
 def pg_date(days: Column) -> Column:

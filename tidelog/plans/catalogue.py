@@ -60,7 +60,7 @@ def type_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return orders.select(
-        "o_orderkey", pgtypes.format_pg_timestamp(k * 86_399_999_999 + k).alias("ts"), pgtypes.pg_date(k).cast("string").alias("day"), pgtypes.bytea_text(F.encode("o_orderpriority", "UTF-8")).alias("bytes")
+        "o_orderkey", pgtypes.format_pg_timestamp(k * 86_399_999_999 + k).alias("ts"), pgtypes.format_pg_date(k).alias("day"), pgtypes.bytea_text(F.encode("o_orderpriority", "UTF-8")).alias("bytes")
     )
 
 
