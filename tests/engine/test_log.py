@@ -184,3 +184,20 @@ def test_reconstruct_without_keys_is_an_error(spark):
     rows = [("t", "a", 1, "I", '{"id":1,"v":"x"}', WHEN), ("t", "a", 2, "U", '{"v":"y"}', WHEN)]
     with pytest.raises(Exception, match="no id in the delta of change 2"):
         journal.reconstruct(spark.createDataFrame(rows, "tenant string, table_name string, event_seq long, Operation string, Data string, CommittedAt timestamp"), "id").collect()
+
+
+@pytest.mark.parametrize("width", [1, 3, 4, 1 << 20])
+def test_marks_in_all_buckets(spark, width):
+    """A change at the very start of a bucket, a stray before a begin, a transaction over many buckets; no change is joined."""
+    rows = [row(2, "B", 1), row(3, "I"), row(4, "I"), row(8, "I"), row(11, "I"), row(12, "C"), row(13, "I"), row(15, "B", 2), row(16, "I"), row(17, "C")]
+    done = transactions.assemble(spark.createDataFrame(rows, SCHEMA), width=width)
+    assert sorted((r["xid"], r["seq"], r["commit_seq"]) for r in done.collect()) == [(1, s, 12) for s in (3, 4, 8, 11)] + [(2, 16, 17)]
+    assert "Join" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+def test_staged_tables_are_columns(spark, log):
+    from tidelog.sources.staging import stage
+
+    staged = stage(log)
+    assert staged.schema == log.schema and sorted(staged.collect()) == sorted(log.collect())
+    assert all(f.endswith(".parquet") for f in staged.inputFiles())

@@ -21,13 +21,14 @@ def change_rows(changes: DataFrame, captured_at=None) -> DataFrame:
     """Journal rows of enriched changes, not numbered yet.
 
     The LSN is that of the commit for every row of a transaction; ``event_seq``
-    keeps the change's own place in the log.
+    keeps the change's own place in the log. Changes that have their delta as
+    ``Data`` already keep it, and their ``_bucket`` stays with them.
     """
     old = F.col("old_kind") if "old_kind" in changes.columns else F.lit(None).cast("string")
     return changes.select(
         "tenant", "schema_name", "table_name", F.col("xid").cast("bigint").alias("XID"), format_lsn(F.col("commit_lsn")).alias("LSN"), F.col("tag").alias("Operation"),
-        delta_json(F.col("tag"), F.col("old"), F.col("new"), old).alias("Data"), F.col("user_id").alias("UserID"), F.col("app_name").alias("Origin"),
-        F.col("commit_ts").cast("timestamp").alias("CommittedAt"), (F.current_timestamp() if captured_at is None else captured_at).alias("CapturedAt"), F.col("seq").alias("event_seq"),
+        (F.col("Data") if "Data" in changes.columns else delta_json(F.col("tag"), F.col("old"), F.col("new"), old)).alias("Data"), F.col("user_id").alias("UserID"), F.col("app_name").alias("Origin"),
+        F.col("commit_ts").cast("timestamp").alias("CommittedAt"), (F.current_timestamp() if captured_at is None else captured_at).alias("CapturedAt"), F.col("seq").alias("event_seq"), *[c for c in ("_bucket",) if c in changes.columns],
     )
 
 
@@ -47,14 +48,15 @@ def create_journal(spark: SparkSession, database: str, table: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {quoted(database)}.{quoted(table)} ({DDL}) USING parquet PARTITIONED BY (tenant, table_name)")
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(rows: DataFrame, path: str, batch_id: int, clustered: bool = False) -> None:
     """Write a batch into a folder of its own, replacing what an earlier attempt left there.
 
     That makes repeated batches harmless. Rows are clustered by their partition
     so that a task writes few files, with the rows of a hot table spread by
-    commit order.
+    commit order. Large rows of few tables that are read from files
+    (``clustered``) need no shuffle: a task writes a file a table.
     """
-    spread = rows.repartition("tenant", "table_name", F.floor(F.col("event_seq") / F.lit(BUCKET)))
+    spread = rows if clustered else rows.repartition("tenant", "table_name", F.floor(F.col("event_seq") / F.lit(BUCKET)))
     spread.sortWithinPartitions("tenant", "table_name", "event_seq").write.mode("overwrite").partitionBy("tenant", "table_name").parquet(f"{path}/batch_id={batch_id}")
 
 

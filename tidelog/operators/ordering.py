@@ -36,12 +36,28 @@ def forward_fill(rows: DataFrame, keys: list[str], order: str, value: Column, in
     return joined.select(*rows.columns, F.coalesce("_local", "_carry").alias(into))
 
 
-def sequence_number(rows: DataFrame, keys: list[str], order: str, into: str, ties: list[str] | None = None, width: int = BUCKET) -> DataFrame:
-    """``rows`` plus ``into``: the row's number in its group, from 1, by ``order`` and ``ties``."""
-    work = rows.withColumn("_bucket", bucket(F.col(order), width))
+#: Buckets (one small row each) up to which their offsets are broadcast.
+FEW_BUCKETS = 2_000_000
+
+
+def number_in_bucket(rows: DataFrame, keys: list[str], order: str, ties: list[str] | None = None, width: int = BUCKET) -> DataFrame:
+    """``rows`` plus ``_bucket``, unless they have it, and ``_number`` in it."""
+    work = rows if "_bucket" in rows.columns else rows.withColumn("_bucket", bucket(F.col(order), width))
     inner = Window.partitionBy(*keys, "_bucket").orderBy(order, *(ties or []))
-    numbered = work.withColumn("_number", F.row_number().over(inner))
+    return work.withColumn("_number", F.row_number().over(inner))
+
+
+def number_across(numbered: DataFrame, keys: list[str], into: str, broadcast: bool = False) -> DataFrame:
+    """Rows numbered in buckets plus ``into``, their number in the group. They are read twice, best from files."""
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = work.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = numbered.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return numbered.join(offsets, [*keys, "_bucket"]).withColumn(into, F.col("_number") + F.col("_offset")).select(*rows.columns, into)
+    if broadcast and counts.limit(FEW_BUCKETS + 1).count() <= FEW_BUCKETS:
+        offsets = F.broadcast(offsets)
+    columns = [c for c in numbered.columns if c not in ("_bucket", "_number")]
+    return numbered.join(offsets, [*keys, "_bucket"]).withColumn(into, F.col("_number") + F.col("_offset")).select(*columns, into)
+
+
+def sequence_number(rows: DataFrame, keys: list[str], order: str, into: str, ties: list[str] | None = None, width: int = BUCKET) -> DataFrame:
+    """``rows`` plus ``into``: the row's number in its group, from 1, by ``order`` and ``ties``."""
+    return number_across(number_in_bucket(rows, keys, order, ties, width), keys, into)

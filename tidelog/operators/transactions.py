@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordering import BUCKET, forward_fill
+from tidelog.operators.ordering import BUCKET, bucket, forward_fill
 
 CHANGES, CONTROL = ["I", "U", "D", "T"], ["B", "C"]
 
@@ -26,21 +26,25 @@ def transactions(log: DataFrame, width: int = BUCKET) -> DataFrame:
     """One row per begin, and per commit without one, with its status.
 
     COMMITTED, ABORTED (a later begin came first), OPEN (nothing came after) or
-    COMMIT_WITHOUT_BEGIN. Only control rows are ordered.
+    COMMIT_WITHOUT_BEGIN. Only control rows are ordered: each is set beside its
+    neighbours within a bucket, and the first and last of the buckets beside
+    those of other buckets.
     """
-    control = _last_control(log.filter(F.col("tag").isin(CONTROL)), width)
-    commits = control.filter(F.col("tag") == "C").select(
-        "tenant", F.when(F.col("_control.tag") == "B", F.col("_control.seq")).alias("begin_seq"), F.col("seq").alias("commit_seq"), "commit_lsn", "end_lsn", "commit_ts"
-    )
-    begins = control.filter(F.col("tag") == "B").select("tenant", F.col("seq").alias("begin_seq"), "xid", "begin_lsn")
-    last = control.groupBy("tenant").agg(F.max("seq").alias("last_seq"))
-    joined = begins.join(commits.filter(F.col("begin_seq").isNotNull()), ["tenant", "begin_seq"], "left").join(last, "tenant")
-    status = F.when(F.col("commit_seq").isNotNull(), "COMMITTED").when(F.col("begin_seq") == F.col("last_seq"), "OPEN").otherwise("ABORTED")
-    columns = ["tenant", "begin_seq", "commit_seq", "xid", "begin_lsn", "commit_lsn", "end_lsn", "commit_ts", "status"]
-    lone = commits.filter(F.col("begin_seq").isNull()).withColumns({
-        "xid": F.lit(None).cast(log.schema["xid"].dataType), "begin_lsn": F.lit(None).cast(log.schema["begin_lsn"].dataType), "status": F.lit("COMMIT_WITHOUT_BEGIN")
-    })
-    return joined.withColumn("status", status).select(columns).unionByName(lone.select(columns))
+    ends = ["commit_lsn", "end_lsn", "commit_ts"]
+    control = log.filter(F.col("tag").isin(CONTROL)).select("tenant", "seq", "tag", "xid", "begin_lsn", *ends, bucket(F.col("seq"), width).alias("_bucket"))
+    inner, outer = Window.partitionBy("tenant", "_bucket").orderBy("seq"), Window.partitionBy("tenant").orderBy("seq")
+    before, after = F.struct("tag", "seq"), F.struct("tag", "seq", *ends)
+    placed = control.withColumns({"_before": F.lag(before).over(inner), "_after": F.lead(after).over(inner)})
+    edge = F.col("_before").isNull() | F.col("_after").isNull()
+    edges = placed.filter(edge).withColumns({"_before": F.coalesce("_before", F.lag(before).over(outer)), "_after": F.coalesce("_after", F.lead(after).over(outer))})
+    begin, closed = F.col("tag") == "B", F.col("_after.tag").eqNullSafe("C")
+    status = F.when(~begin, "COMMIT_WITHOUT_BEGIN").when(closed, "COMMITTED").when(F.col("_after").isNull(), "OPEN").otherwise("ABORTED")
+    end = lambda c: F.when(~begin, F.col(c)).when(closed, F.col(f"_after.{c}")).alias(c)
+    kept = placed.filter(~edge).unionByName(edges).filter(begin | ~F.col("_before.tag").eqNullSafe("B"))
+    return kept.select(
+        "tenant", F.when(begin, F.col("seq")).alias("begin_seq"), F.when(~begin, F.col("seq")).when(closed, F.col("_after.seq")).alias("commit_seq"),
+        F.when(begin, F.col("xid")).alias("xid"), F.when(begin, F.col("begin_lsn")).alias("begin_lsn"), *[end(c) for c in ends], status.alias("status"),
+    )
 
 
 def attach(log: DataFrame, width: int = BUCKET) -> DataFrame:
@@ -62,13 +66,31 @@ def assemble(log: DataFrame, max_tx_bytes: int | None = None, width: int = BUCKE
     ``max_tx_bytes``, off by default, drops the changes that come once a
     transaction's images hold that many bytes of text already.
     """
-    changes = attach(log, width).filter(F.col("begin_seq").isNotNull()).drop("xid", "begin_lsn", "commit_lsn", "end_lsn", "commit_ts")
+    committed = (transactions(log, width) if known is None else known).filter(F.col("status") == "COMMITTED").drop("status")
+    changes = within(log, committed, width).drop("_bucket")
     if max_tx_bytes is not None:
         text = lambda row: F.aggregate(F.coalesce(F.col(row), F.array()), F.lit(0), lambda n, c: n + F.coalesce(F.octet_length(c["text"]), F.lit(0)))
         before = Window.partitionBy("tenant", "begin_seq").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
         changes = changes.withColumn("_bytes", F.coalesce(F.sum(text("old") + text("new")).over(before), F.lit(0))).filter(F.col("_bytes") <= max_tx_bytes).drop("_bytes")
-    committed = (transactions(log, width) if known is None else known).filter(F.col("status") == "COMMITTED").drop("status")
-    return changes.join(committed, ["tenant", "begin_seq"])
+    return changes
+
+
+def within(log: DataFrame, committed: DataFrame, width: int = BUCKET) -> DataFrame:
+    """Changes of the log within the ``committed`` transactions, with all of these' columns, and ``_bucket``.
+
+    A transaction puts a mark into every bucket that it reaches, so that one
+    pass within buckets finds each change's transaction: rows are shuffled once
+    and nothing is joined. Transactions of a tenant do not overlap, so a
+    bucket's edge is crossed by one of them at most.
+    """
+    known = [c for c in committed.columns if c != "tenant"]
+    changes = log.filter(F.col("tag").isin(CHANGES)).drop("xid", "begin_lsn", "commit_lsn", "end_lsn", "commit_ts").withColumns({"_bucket": bucket(F.col("seq"), width), "_order": F.col("seq")})
+    reached = F.sequence(bucket(F.col("begin_seq"), width), bucket(F.col("commit_seq"), width))
+    marks = committed.select("tenant", F.struct(*known).alias("_tx"), F.explode(reached).alias("_bucket")).withColumn("_order", F.greatest(F.col("_tx.begin_seq"), F.col("_bucket") * F.lit(width) - 1))
+    both = changes.unionByName(marks, allowMissingColumns=True)
+    in_bucket = Window.partitionBy("tenant", "_bucket").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_tx", F.last("_tx", True).over(in_bucket)).filter(F.col("seq") < F.col("_tx.commit_seq"))
+    return found.select(*[c for c in changes.columns if c not in ("_bucket", "_order")], *[F.col(f"_tx.{c}").alias(c) for c in known], "_bucket")
 
 
 def nested(changes: DataFrame) -> DataFrame:
