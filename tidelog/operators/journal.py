@@ -57,7 +57,7 @@ def write_batch(rows: DataFrame, path: str, batch_id: int, clustered: bool = Fal
     (``clustered``) need no shuffle: a task writes a file a table.
     """
     spread = rows if clustered else rows.repartition("tenant", "table_name", F.floor(F.col("event_seq") / F.lit(BUCKET)))
-    spread.sortWithinPartitions("tenant", "table_name", "event_seq").write.mode("overwrite").partitionBy("tenant", "table_name").parquet(f"{path}/batch_id={batch_id}")
+    spread.sortWithinPartitions("tenant", "table_name", "event_seq").write.mode("overwrite").option("compression", "zstd").partitionBy("tenant", "table_name").parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:

@@ -26,5 +26,5 @@ def stage(frame: DataFrame) -> DataFrame:
     branch reads only those it needs and large ones are read by several tasks.
     """
     path = f"{ensure_folder(frame.sparkSession)}/staged-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
