@@ -12,7 +12,7 @@ import sys
 from tidelog import __version__
 from tidelog.functions.config import LOG_LEVELS, parse_log_level, redacted
 
-#: Shuffle partitions of a tenant's query: its open transaction is one state, its batches have at most ``maxFrames`` rows.
+#: Shuffle partitions of a tenant's query: its batches have at most ``maxFrames`` rows.
 TENANT_PARTITIONS = 4
 EXIT_OK, EXIT_CONFIG, EXIT_CONNECT, EXIT_FATAL = 0, 1, 2, 99
 LOG_BYTES, LOG_FILES = 100 << 20, 10
@@ -79,7 +79,7 @@ def serve(given: argparse.Namespace) -> int:
     from tidelog.streaming import bootstrap, runner, source
     from tidelog.streaming.supervisor import Reconnection, Supervisor
 
-    spark = build_session("tidelog", spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark = build_session("tidelog")
     source.register(spark)
 
     def desired() -> dict[str, dict]:

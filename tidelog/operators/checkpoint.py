@@ -33,7 +33,7 @@ def _folder(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def versions(spark: SparkSession, path: str) -> list[int]:
     """Versions that hold data, in order."""
     place, files = _folder(spark, path)
     if not files.exists(place):
@@ -49,14 +49,23 @@ def save(spark: SparkSession, path: str, new: DataFrame, version: int) -> None:
     versions are deleted.
     """
     advance(load(spark, path, version), new).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
-    for old in _versions(spark, path)[: -KEPT - 1]:
-        place, files = _folder(spark, f"{path}/version={old}")
-        files.delete(place, True)
+    prune(spark, path)
+
+
+def prune(spark: SparkSession, path: str) -> None:
+    """Delete versions but the latest and those kept beside it."""
+    for old in versions(spark, path)[: -KEPT - 1]:
+        delete(spark, f"{path}/version={old}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place, files = _folder(spark, path)
+    files.delete(place, True)
 
 
 def load(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """The checkpoint table's latest version, or the latest before a number; empty if there is none."""
-    found = [v for v in _versions(spark, path) if before is None or v < before]
+    found = [v for v in versions(spark, path) if before is None or v < before]
     return spark.read.parquet(f"{path}/version={found[-1]}") if found else spark.createDataFrame([], SCHEMA)
 
 
@@ -67,7 +76,7 @@ def gather(spark: SparkSession, paths: list[str], path: str) -> None:
     if not paths:
         return
     rows = reduce(DataFrame.unionByName, [load(spark, p) for p in paths])
-    save(spark, path, rows.select("SlotName", parse_lsn(F.col("ConfirmedLSN")).alias("lsn"), "UpdatedAt"), max(_versions(spark, path), default=-1) + 1)
+    save(spark, path, rows.select("SlotName", parse_lsn(F.col("ConfirmedLSN")).alias("lsn"), "UpdatedAt"), max(versions(spark, path), default=-1) + 1)
 
 
 def write_lsn(spark: SparkSession, path: str, lsn: int) -> None:

@@ -34,9 +34,13 @@ def session_context(session_rows: DataFrame) -> DataFrame:
     for its null cells.
     """
     row = F.when(F.col("tag") == "D", F.col("old")).otherwise(F.col("new"))
-    seen = session_rows.select("tenant", "begin_seq", "seq", cell_text(row, "UserID").alias("u"), cell_text(row, "AppName").alias("a"))
+    return context_of(session_rows.select("tenant", "begin_seq", "seq", cell_text(row, "UserID").alias("UserID"), cell_text(row, "AppName").alias("AppName")))
+
+
+def context_of(seen: DataFrame) -> DataFrame:
+    """``session_context`` of rows that have their ``UserID`` and ``AppName`` as texts."""
     latest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("seq", c)))[c]
-    return seen.groupBy("tenant", "begin_seq").agg(latest("u").alias("user_id"), latest("a").alias("app_name"))
+    return seen.groupBy("tenant", "begin_seq").agg(latest("UserID").alias("user_id"), latest("AppName").alias("app_name"))
 
 
 def tracked(changes: DataFrame, untracked: list[str] | DataFrame) -> DataFrame:

@@ -22,13 +22,14 @@ def _last_control(rows: DataFrame, width: int) -> DataFrame:
     return forward_fill(rows, ["tenant"], "seq", mark, "_control", inclusive=False, width=width)
 
 
-def transactions(log: DataFrame, width: int = BUCKET) -> DataFrame:
+def transactions(log: DataFrame, width: int = BUCKET, until: bool = False) -> DataFrame:
     """One row per begin, and per commit without one, with its status.
 
     COMMITTED, ABORTED (a later begin came first), OPEN (nothing came after) or
     COMMIT_WITHOUT_BEGIN. Only control rows are ordered: each is set beside its
     neighbours within a bucket, and the first and last of the buckets beside
-    those of other buckets.
+    those of other buckets. With ``until``, ``until_seq`` says where the control
+    row is that ends a transaction, be it a commit or another begin.
     """
     ends = ["commit_lsn", "end_lsn", "commit_ts"]
     control = log.filter(F.col("tag").isin(CONTROL)).select("tenant", "seq", "tag", "xid", "begin_lsn", *ends, bucket(F.col("seq"), width).alias("_bucket"))
@@ -44,6 +45,7 @@ def transactions(log: DataFrame, width: int = BUCKET) -> DataFrame:
     return kept.select(
         "tenant", F.when(begin, F.col("seq")).alias("begin_seq"), F.when(~begin, F.col("seq")).when(closed, F.col("_after.seq")).alias("commit_seq"),
         F.when(begin, F.col("xid")).alias("xid"), F.when(begin, F.col("begin_lsn")).alias("begin_lsn"), *[end(c) for c in ends], status.alias("status"),
+        *([F.when(begin, F.col("_after.seq")).alias("until_seq")] if until else []),
     )
 
 
@@ -75,13 +77,14 @@ def assemble(log: DataFrame, max_tx_bytes: int | None = None, width: int = BUCKE
     return changes
 
 
-def within(log: DataFrame, committed: DataFrame, width: int = BUCKET) -> DataFrame:
+def within(log: DataFrame, committed: DataFrame, width: int = BUCKET, strays: bool = False) -> DataFrame:
     """Changes of the log within the ``committed`` transactions, with all of these' columns, and ``_bucket``.
 
     A transaction puts a mark into every bucket that it reaches, so that one
     pass within buckets finds each change's transaction: rows are shuffled once
     and nothing is joined. Transactions of a tenant do not overlap, so a
-    bucket's edge is crossed by one of them at most.
+    bucket's edge is crossed by one of them at most. With ``strays`` all other
+    changes are kept too, with nulls for a transaction.
     """
     known = [c for c in committed.columns if c != "tenant"]
     changes = log.filter(F.col("tag").isin(CHANGES)).drop("xid", "begin_lsn", "commit_lsn", "end_lsn", "commit_ts").withColumns({"_bucket": bucket(F.col("seq"), width), "_order": F.col("seq")})
@@ -89,7 +92,8 @@ def within(log: DataFrame, committed: DataFrame, width: int = BUCKET) -> DataFra
     marks = committed.select("tenant", F.struct(*known).alias("_tx"), F.explode(reached).alias("_bucket")).withColumn("_order", F.greatest(F.col("_tx.begin_seq"), F.col("_bucket") * F.lit(width) - 1))
     both = changes.unionByName(marks, allowMissingColumns=True)
     in_bucket = Window.partitionBy("tenant", "_bucket").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_tx", F.last("_tx", True).over(in_bucket)).filter(F.col("seq") < F.col("_tx.commit_seq"))
+    placed, inside = both.withColumn("_tx", F.last("_tx", True).over(in_bucket)), F.col("seq") < F.col("_tx.commit_seq")
+    found = placed.filter(F.col("seq").isNotNull()).withColumn("_tx", F.when(inside, F.col("_tx"))) if strays else placed.filter(inside)
     return found.select(*[c for c in changes.columns if c not in ("_bucket", "_order")], *[F.col(f"_tx.{c}").alias(c) for c in known], "_bucket")
 
 

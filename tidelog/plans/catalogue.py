@@ -13,7 +13,7 @@ from tidelog.functions.lsn import format_lsn, parse_lsn
 from tidelog.operators import checkpoint, journal, metrics, routing, sessions, transactions, views
 from tidelog.plans import control, journal_plan, oracle
 from tidelog.sources import catalog, pgoutput, synth
-from tidelog.sources.staging import stage
+from tidelog.sources.staging import ensure_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -496,9 +496,9 @@ def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order frames through the streaming pipeline, read back from its journal."""
     from tidelog.streaming import runner
 
-    frames = stage(_frames(spark, sf_dir))
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-    frames.repartition(4).write.parquet(f"{folder}/in")
+    frames = _frames(spark, sf_dir)
+    folder = f"{ensure_folder(spark)}/stream-{uuid.uuid4().hex}"
+    frames.write.option("compression", "zstd").parquet(f"{folder}/in")
     stream = spark.readStream.schema(frames.schema).parquet(f"{folder}/in")
     done = runner.start(pgoutput.decode(stream), f"{folder}/out", f"{folder}/state", options=runner.StreamOptions(frames=True, fallback="none"))
     done.awaitTermination()

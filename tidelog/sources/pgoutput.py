@@ -169,18 +169,19 @@ def binary_as_text(cells: Column, oids: Column) -> Column:
     return convert(cells, oids)
 
 
-def change_events(decoded: DataFrame, binary: bool = True) -> tuple[DataFrame, DataFrame]:
+def change_events(decoded: DataFrame, binary: bool = True, relations_before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(log, errors): decoded messages with names and types from their relations, in the log's form.
 
     A truncate gives a row for each of its relations. Changes of an unknown
     relation and unreadable frames are errors and leave the log. Binary cells go
-    through Python, and only rows that have one.
+    through Python, and only rows that have one. ``relations_before`` (tenant,
+    rel_oid, relation) are those in force before the messages.
     """
     sound = decoded.filter(F.col("error").isNull())
     oids = F.when(F.col("tag") == "T", F.col("truncated")).otherwise(F.array("rel_oid"))
     control = F.col("tag").isin("B", "C")
     opened = sound.filter(~control).select(*[c for c in decoded.columns if c != "rel_oid"], F.explode(oids).alias("rel_oid")).select(*decoded.columns)
-    named = relations.with_relation(opened)
+    named = relations.with_relation(opened, relations_before)
     unknown = F.col("tag").isin("I", "U", "D", "T") & F.col("rel").isNull()
     known = named.filter(~unknown & (F.col("tag") != "R"))
     if binary:

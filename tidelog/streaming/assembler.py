@@ -1,174 +1,146 @@
-"""Transaction assembly over a stream, with the open transaction as state.
+"""Transaction assembly over a stream, by the batch operators within each micro-batch.
 
-One state per tenant: the open transaction's begin and its changes so far. A
-transaction of any length may span any number of micro-batches; its changes are
-handed on with its commit. The state lives in the RocksDB provider, so that it
-is spilled and checkpointed with the query.
+A micro-batch is staged and assembled as a log is (``operators.transactions``),
+so that a tenant's rows are the work of many tasks. What outlasts a batch is
+kept in files under the query's own folder: the relations in force, the begin
+of each tenant's open transaction, and in a folder a batch the changes that
+belong to it. A transaction of any length may span any number of batches; its
+changes are written once, are read again with its commit, and pass no driver.
+
+Files are told by the number of their batch. One that is run again reads what
+the batches before it left and replaces what it had written.
 """
 
 from __future__ import annotations
 
-import base64
-import json
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from tidelog.functions import pgtypes
-from tidelog.functions.delta import ROW
-
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-CHANGE = "seq long, tag string, schema_name string, table_name string, old_json string, new_json string, old_kind string"
-CHANGE_FIELDS = [c.split()[0] for c in CHANGE.split(", ")]
-OUT = f"tenant string, begin_seq long, {CHANGE}, commit_seq long, xid long, begin_lsn long, commit_lsn long, end_lsn long, commit_ts timestamp, status string"
-OUT_FIELDS = [c.split()[0] for c in OUT.split(", ")]
-#: Tag of frames that can't be decoded; no message has it.
-BROKEN = "!"
-
-
-class Assembler(StatefulProcessor):
-    """Emits the changes of each committed transaction, and a row for each transaction, abort, stray and lone commit."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.begin = handle.getValueState("begin", "begin_seq long, xid long, begin_lsn long")
-        self.changes = handle.getListState("changes", CHANGE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values("seq")
-        opened = self.begin.get() if self.begin.exists() else None
-        held: list[tuple] = []  # of this batch, not in the state yet
-        out: list[dict] = []
-        for row in frame.to_dict("records"):
-            tag = row["tag"]
-            if tag == "B":
-                if opened is not None:
-                    out.append(self._mark(key, opened, "ABORTED"))
-                    self.changes.clear()
-                opened, held = (int(row["seq"]), int(row["xid"]), int(row["begin_lsn"])), []
-            elif tag == "C":
-                end = {c: row[c] for c in ("commit_lsn", "end_lsn", "commit_ts")} | {"commit_seq": int(row["seq"])}
-                if opened is None:
-                    out.append({"tenant": key[0], "status": "COMMIT_WITHOUT_BEGIN"} | end)
-                    continue
-                before = list(self.changes.get()) if self.changes.exists() else []
-                head = self._mark(key, opened, "COMMITTED") | end
-                out.append(head)
-                out += [head | {"status": "CHANGE"} | dict(zip(CHANGE_FIELDS, change, strict=True)) for change in [*before, *held]]
-                self.changes.clear()
-                opened, held = None, []
-            elif opened is None:
-                out.append({"tenant": key[0], "status": "STRAY", "seq": row["seq"], "tag": tag, "table_name": row["table_name"], "schema_name": row["schema_name"]})
-            else:
-                held.append(tuple(row[c] for c in CHANGE_FIELDS))
-        if held:
-            self.changes.appendList(held)
-        if opened is None:
-            self.begin.clear()
-        else:
-            self.begin.update(tuple(int(x) for x in opened))
-        if out:
-            yield self._frame(out)
+
+from tidelog.functions import config, pgtypes
+from tidelog.functions.delta import delta_json
+from tidelog.operators import checkpoint, relations, routing, transactions
+from tidelog.sources import pgoutput
+
+KNOWN = f"tenant string, rel_oid long, relation {relations.RELATION}"
+OPENED = "tenant string, seq long, xid long, begin_lsn long, first long"
+#: Of a change its delta, and the cells that tell who made it where it is a session row; its images are not kept.
+HELD = "tenant string, seq long, tag string, schema_name string, table_name string, Data string, UserID string, AppName string"
+HELD_FIELDS = [c.split()[0] for c in HELD.split(", ")]
+TX = ["begin_seq", "xid", "commit_lsn", "commit_ts"]
+
+
+@dataclass
+class Assembled:
+    """What a micro-batch settles, read from its files."""
+
+    transactions: DataFrame  # each that ended in it, and each commit without a begin, with its status
+    changes: DataFrame  # of committed transactions, with ``TX``
+    counts: DataFrame  # (tenant, status, n)
+
+
+class Assembler:
+    """Assembles the micro-batches of one query; ``folder`` holds what outlasts them."""
+
+    def __init__(self, folder: str, frames: bool):
+        self.folder, self.frames = folder, frames
+
+    def assemble(self, batch: DataFrame, number: int) -> Assembled:
+        spark = batch.sparkSession
+        rows = self._work(batch, "rows")
+        control, changes, errors = self._events(rows, number) if self.frames else self._log(rows)
+        opened = self._read(spark, "opened", number, OPENED)
+        first = opened.agg(F.min("first")).first()[0]
+        # Places that the batch reaches; what was open before it begins just before them, wherever that was.
+        reach = rows.groupBy("tenant").agg(F.min("seq").alias("_low"), F.max("seq").alias("_high"))
+        same = F.col("tenant").eqNullSafe(F.col("_tenant"))
+        if first is not None:
+            near = reach.withColumnRenamed("tenant", "_tenant")
+            opened = self._work(opened.join(near, same, "left").withColumn("place", F.coalesce(F.col("_low") - 1, "seq")).drop("_tenant", "_low", "_high"), "opened")
+            begins = opened.select("tenant", F.col("place").alias("seq"), F.lit("B").alias("tag"), "xid", "begin_lsn")
+            control = control.unionByName(begins, allowMissingColumns=True)
+        found = self._work(transactions.transactions(control, until=True), "transactions")
+        still = found.filter(F.col("status") == "OPEN")
+        ended = found.filter(F.col("status") != "OPEN")
+        span = ["tenant", *TX, "status"]
+        spans = ended.filter(F.col("begin_seq").isNotNull()).select(*span, F.col("until_seq").alias("commit_seq"))
+        there = still.join(reach.withColumnRenamed("tenant", "_tenant"), same).select(*span, (F.col("_high") + 1).alias("commit_seq"))
+        placed = self._work(transactions.within(changes, spans.unionByName(there), strays=True).drop("commit_seq", "_bucket"), "changes")
+        committed = placed.filter(F.col("status") == "COMMITTED").select(*HELD_FIELDS, *TX)
+        if first is not None:
+            since = opened.select(F.col("tenant").alias("_tenant"), F.col("place").alias("_place"), F.col("first").alias("_first"))
+            done = ended.filter(F.col("status") == "COMMITTED").select("tenant", *TX)
+            closed = done.join(since, same & (F.col("begin_seq") == F.col("_place"))).select("_tenant", "_first", *TX)  # one a tenant at most
+            earlier = self._held(spark, first, number).join(F.broadcast(closed), same & (F.col("version") >= F.col("_first")))
+            committed = committed.unionByName(earlier.select(*HELD_FIELDS, *TX))
+        self._keep(number, still, opened if first is not None else None, placed)
+        self._forget(spark, number if first is None else first)
+        tally = lambda frame, status: frame.groupBy("tenant", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+        counts = tally(ended, F.col("status")).unionByName(tally(committed, F.lit("CHANGE"))).unionByName(tally(placed.filter(F.col("status").isNull()), F.lit("STRAY")))
+        if errors is not None:
+            counts = counts.unionByName(tally(errors, F.when(F.col("error") == "unknown relation", "UNKNOWN_RELATION").otherwise("PARSE_ERROR")))
+        return Assembled(ended, committed, counts)
+
+    def close(self, spark: SparkSession) -> None:
+        """Delete what only the batch itself needed."""
+        checkpoint.delete(spark, f"{self.folder}/work")
+
+    def _log(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, None]:
+        log = rows.withColumn("commit_ts", F.col("commit_ts").cast("timestamp"))
+        return self._control(log), self._light(log), None
+
+    def _events(self, rows: DataFrame, number: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(control rows, changes, errors) of decoded frames; the relations in force at their end are kept."""
+        before = self._read(rows.sparkSession, "relations", number, KNOWN)
+        if not rows.filter(F.col("tag") == "R").isEmpty():
+            relations.current_relations(rows.filter(F.col("error").isNull()), before).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/relations/version={number}")
+            checkpoint.prune(rows.sparkSession, f"{self.folder}/relations")
+        log, errors = pgoutput.change_events(rows, relations_before=before)
+        sound = rows.filter(F.col("error").isNull()).withColumn("commit_ts", F.when(F.col("tag") == "C", pgtypes.pg_timestamp(F.col("commit_us"))))
+        return self._control(sound), self._light(log), errors
 
     @staticmethod
-    def _frame(out: list[dict]) -> pd.DataFrame:
-        made = pd.DataFrame.from_records(out).reindex(columns=OUT_FIELDS)
-        for c in ("begin_seq", "seq", "commit_seq", "xid", "begin_lsn", "commit_lsn", "end_lsn"):
-            made[c] = made[c].astype("Int64")
-        made["commit_ts"] = pd.to_datetime(made["commit_ts"])
-        for c in ("tag", "schema_name", "table_name", "old_json", "new_json", "old_kind", "status", "tenant"):
-            made[c] = made[c].astype(object).where(made[c].notna(), None)
-        return made
+    def _control(log: DataFrame) -> DataFrame:
+        return log.filter(F.col("tag").isin(transactions.CONTROL)).select("tenant", "seq", "tag", "xid", "begin_lsn", "commit_lsn", "end_lsn", "commit_ts")
 
     @staticmethod
-    def _mark(key, opened: tuple, status: str) -> dict:
-        return {"tenant": key[0], "begin_seq": int(opened[0]), "xid": int(opened[1]), "begin_lsn": int(opened[2]), "status": status}
-
-    def close(self) -> None:
-        pass
-
-
-class FrameAssembler(Assembler):
-    """The assembler over decoded frames: keeps the relations in force as state and names each tuple's cells.
-
-    Frames that can't be decoded and changes of unknown relations give a row each, to be counted.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.relations = handle.getMapState("relations", "rel_oid long", "relation string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values("seq")
-        known: dict[int, dict | None] = {}
-        made, wrong = [], []
-        for row in frame.to_dict("records"):
-            if row["tag"] == BROKEN:
-                wrong.append({"tenant": key[0], "status": "PARSE_ERROR", "seq": int(row["seq"])})
-                continue
-            if row["tag"] == "R":
-                known[int(row["rel_oid"])] = json.loads(row["relation_json"])
-                self.relations.updateValue((int(row["rel_oid"]),), (row["relation_json"],))
-                continue
-            oids = json.loads(row["truncated_json"]) if row["tag"] == "T" else [row["rel_oid"]]
-            for oid in oids:
-                out = {c: row[c] for c in ("seq", "tag", "xid", "begin_lsn", "commit_lsn", "end_lsn", "old_kind")}
-                out |= {"commit_ts": None if row["tag"] != "C" else pd.Timestamp(2000, 1, 1) + pd.Timedelta(int(row["commit_us"]), "us"), "schema_name": None, "table_name": None, "old_json": None, "new_json": None}
-                if row["tag"] not in ("B", "C"):
-                    relation = self._relation(known, int(oid))
-                    if relation is None:
-                        wrong.append({"tenant": key[0], "status": "UNKNOWN_RELATION", "seq": int(row["seq"]), "tag": row["tag"]})
-                        continue  # a change of an unknown relation is no row of the log
-                    out |= {"schema_name": relation["schema_name"], "table_name": relation["table_name"]}
-                    out |= {f"{side}_json": named_json(row[f"{side}_raw_json"], relation) for side in ("old", "new")}
-                made.append(out)
-        if wrong:
-            yield self._frame(wrong)
-        if made:
-            yield from super().handleInputRows(key, iter([pd.DataFrame.from_records(made)]), timerValues)
-
-    def _relation(self, known: dict, oid: int) -> dict | None:
-        if oid not in known:
-            found = self.relations.getValue((oid,)) if self.relations.containsKey((oid,)) else None
-            known[oid] = json.loads(found[0]) if found else None
-        return known[oid]
-
-
-def named_json(raw: str | None, relation: dict) -> str | None:
-    """A tuple's raw cells as JSON of named cells."""
-    if not isinstance(raw, str):
-        return None
-    cells = []
-    for i, c in enumerate(json.loads(raw)):
-        column = relation["columns"][i] if i < len(relation["columns"]) else {"name": "", "type_oid": 0, "flags": 0}
-        text = pgtypes.decode_binary(column["type_oid"], base64.b64decode(c["bin"])) if c["kind"] == "b" else c.get("text")
-        is_null = c["kind"] == "n" or c["kind"] == "b" and text is None
-        cells.append({"name": column["name"], "type_oid": column["type_oid"], "is_null": is_null, "text": text, "unchanged": c["kind"] == "u", "is_key": bool(column["flags"] & 1)})
-    return json.dumps(cells)
-
-
-def assemble_frames(decoded: DataFrame) -> DataFrame:
-    """The assembler's output over a stream of decoded frames (``sources.pgoutput.decode``)."""
-    keep = {"ignoreNullFields": "false"}
-    flat = decoded.select(
-        "tenant", "seq", F.when(F.col("error").isNotNull(), BROKEN).otherwise(F.col("tag")).alias("tag"), "xid", "begin_lsn", "commit_lsn", "end_lsn", "commit_us", "rel_oid", F.to_json("relation", keep).alias("relation_json"), F.to_json("truncated").alias("truncated_json"),
-        "old_kind", F.to_json("old_raw", keep).alias("old_raw_json"), F.to_json("new_raw", keep).alias("new_raw_json"),
-    )
-    return flat.groupBy("tenant").transformWithStateInPandas(FrameAssembler(), outputStructType=OUT, outputMode="append", timeMode="none")
-
-
-def assemble_stream(log: DataFrame) -> DataFrame:
-    """The assembler's output over a stream of log rows (the columns of ``sources.synth.LOG``)."""
-    flat = log.select(
-        "tenant", "seq", "tag", "xid", "begin_lsn", "commit_lsn", "end_lsn", F.col("commit_ts").cast("timestamp").alias("commit_ts"), "schema_name", "table_name",
-        F.to_json("old", {"ignoreNullFields": "false"}).alias("old_json"), F.to_json("new", {"ignoreNullFields": "false"}).alias("new_json"), "old_kind",
-    )
-    return flat.groupBy("tenant").transformWithStateInPandas(Assembler(), outputStructType=OUT, outputMode="append", timeMode="none")
-
-
-def changes_of(assembled: DataFrame) -> DataFrame:
-    """Committed changes with their images as arrays again."""
-    rows = assembled.filter(F.col("status") == "CHANGE")
-    return rows.withColumns({"old": F.from_json("old_json", ROW), "new": F.from_json("new_json", ROW)}).drop("old_json", "new_json", "status")
+    def _light(log: DataFrame) -> DataFrame:
+        """Changes with ``HELD`` alone, so that images are neither moved nor kept."""
+        row = F.when(F.col("tag") == "D", F.col("old")).otherwise(F.col("new"))
+        named = F.col("table_name").endswith(config.session_table(""))  # whatever prefix is in force when it is committed
+        who = {c: F.when(named, routing.cell_text(row, c)) for c in ("UserID", "AppName")}
+        return log.withColumns(who | {"Data": delta_json(F.col("tag"), F.col("old"), F.col("new"), F.col("old_kind"))}).select(*HELD_FIELDS)
+
+    def _keep(self, number: int, still: DataFrame, opened: DataFrame | None, placed: DataFrame) -> None:
+        """Write the begins of the transactions that are open now, and their changes of this batch."""
+        begins = still.select("tenant", F.col("begin_seq").alias("seq"), "xid", "begin_lsn", F.lit(number).cast("long").alias("first"))
+        if opened is not None:
+            was = opened.select(F.col("tenant").alias("_tenant"), F.col("place").alias("_place"), F.col("seq").alias("_seq"), F.col("first").alias("_first"))
+            joined = begins.join(was, F.col("tenant").eqNullSafe(F.col("_tenant")) & (F.col("seq") == F.col("_place")), "left")
+            begins = joined.select("tenant", F.coalesce("_seq", "seq").alias("seq"), "xid", "begin_lsn", F.coalesce("_first", "first").alias("first"))
+        begins.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/opened/version={number}")
+        checkpoint.prune(placed.sparkSession, f"{self.folder}/opened")
+        placed.filter(F.col("status") == "OPEN").select(*HELD_FIELDS).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/held/version={number}")
+
+    def _held(self, spark: SparkSession, first: int, number: int) -> DataFrame:
+        """Changes that the batches from ``first`` on held back, with the number of theirs (``version``)."""
+        paths = [f"{self.folder}/held/version={v}" for v in checkpoint.versions(spark, f"{self.folder}/held") if first <= v < number]
+        return spark.read.schema(f"{HELD}, version long").option("basePath", f"{self.folder}/held").parquet(*paths)
+
+    def _work(self, frame: DataFrame, name: str) -> DataFrame:
+        """``frame`` computed once, read from files that hold until ``close``."""
+        path = f"{self.folder}/work/{name}"
+        frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+    def _read(self, spark: SparkSession, name: str, number: int, schema: str) -> DataFrame:
+        """What the latest batch before this one left; empty if none did."""
+        found = [v for v in checkpoint.versions(spark, f"{self.folder}/{name}") if v < number]
+        return spark.read.schema(schema).parquet(f"{self.folder}/{name}/version={found[-1]}") if found else spark.createDataFrame([], schema)
+
+    def _forget(self, spark: SparkSession, first: int) -> None:
+        """Delete changes held back before batch ``first``, the earliest that this batch, run again, would read."""
+        for old in checkpoint.versions(spark, f"{self.folder}/held"):
+            if old < first:
+                checkpoint.delete(spark, f"{self.folder}/held/version={old}")

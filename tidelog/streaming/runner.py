@@ -30,34 +30,42 @@ class StreamOptions:
     trigger: dict = field(default_factory=lambda: {"availableNow": True})
 
 
-def batch_rows(assembled: DataFrame, session_rows: DataFrame | None, options: StreamOptions) -> DataFrame:
+#: Tables of a micro-batch up to which each task writes a file for every one of them, without a shuffle.
+FEW_TABLES = 16
+
+
+def batch_rows(done: assembler.Assembled, session_rows: DataFrame | None, options: StreamOptions) -> DataFrame:
     """Journal rows of a micro-batch, not numbered yet."""
-    own, data = routing.split(assembler.changes_of(assembled), options.prefix)
-    enriched = sessions.enrich(routing.tracked(data, options.untracked), routing.session_context(own), session_rows, options.fallback)
-    return journal.change_rows(enriched)
+    own, data = routing.split(done.changes, options.prefix)
+    context = routing.context_of(own)
+    if own.isEmpty():
+        context = context.limit(0)  # known to be empty, so that nothing is moved for its sake
+    commits = done.transactions.filter(F.col("status") == "COMMITTED")
+    return journal.change_rows(sessions.enrich(routing.tracked(data, options.untracked), context, session_rows, options.fallback, commits))
 
 
 def start(log: DataFrame, path: str, state_dir: str, session_rows: DataFrame | None = None, options: StreamOptions | None = None) -> StreamingQuery:
     """Start the query that journals ``log``, a stream of log rows (or decoded frames), under ``path``."""
     options = options or StreamOptions()
-    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", assembler.PROVIDER)
+    session, key, adaptive = log.sparkSession, "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"
+    work, adapts = assembler.Assembler(f"{state_dir}/tidelog", options.frames), session.conf.get(adaptive)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
-            journal.write_batch(batch_rows(batch, session_rows, options), f"{path}/journal", number)
-            done = batch.filter(F.col("status") == "COMMITTED").groupBy("tenant").agg(F.max("end_lsn").alias("lsn"))
-            slots = done.select(F.concat(F.lit(options.slot_prefix), "tenant").alias("SlotName"), "lsn", F.current_timestamp().alias("UpdatedAt"))
-            checkpoint.save(batch.sparkSession, f"{path}/checkpoint", slots, number)
-            if options.lsn_file and (lsn := done.agg(F.max("lsn").alias("lsn")).first()["lsn"]) is not None:
-                checkpoint.write_lsn(batch.sparkSession, options.lsn_file, lsn)
-            batch.groupBy("tenant", "status").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/metrics/batch_id={number}")
-        finally:
-            batch.unpersist()
-
-    assembled = assembler.assemble_frames(log) if options.frames else assembler.assemble_stream(log)
-    writer = assembled.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", state_dir)
-    session, key = log.sparkSession, "spark.sql.shuffle.partitions"
+        spark = batch.sparkSession
+        spark.conf.set(adaptive, adapts)  # the query's own session may begin without
+        done = work.assemble(batch, number)
+        rows = batch_rows(done, session_rows, options)
+        few = done.changes.select("tenant", "table_name").distinct().limit(FEW_TABLES + 1).count() <= FEW_TABLES
+        journal.write_batch(rows, f"{path}/journal", number, clustered=few)
+        ends = done.transactions.filter(F.col("status") == "COMMITTED").groupBy("tenant").agg(F.max("end_lsn").alias("lsn"))
+        slots = ends.select(F.concat(F.lit(options.slot_prefix), "tenant").alias("SlotName"), "lsn", F.current_timestamp().alias("UpdatedAt"))
+        checkpoint.save(spark, f"{path}/checkpoint", slots, number)
+        if options.lsn_file and (lsn := ends.agg(F.max("lsn").alias("lsn")).first()["lsn"]) is not None:
+            checkpoint.write_lsn(spark, options.lsn_file, lsn)
+        done.counts.write.mode("overwrite").parquet(f"{path}/metrics/batch_id={number}")
+        work.close(spark)
+
+    writer = log.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", state_dir)
     before = session.conf.get(key)
     if options.partitions:
         session.conf.set(key, str(options.partitions))  # the query takes the setting along
